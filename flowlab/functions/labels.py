@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scalars import strip
+from .scalars import bind, strip
 
 BENIGN = "Benign"
 
@@ -60,23 +60,25 @@ def parse_zeek_label(raw: Column) -> Column:
     Parts are separated by tabs, or else by three spaces.  Built from expressions
     only, so it stays inside the JVM.
     """
-    text = strip(raw)
-    tabbed = text.contains("\t")
-    pieces = F.when(tabbed, F.split(text, "\t")).otherwise(F.split(text, " {3}"))
-    words = F.filter(F.transform(pieces, strip), lambda w: ~w.isin(*_EMPTY_PART))
-    attack_at = F.array_position(words, "Malicious")
-    last = F.get(words, F.size(words) - 1)
-    return (
-        F.when(raw.isNull(), F.lit(BENIGN))
-        .when(
-            ~tabbed & ~text.contains("   "),
-            F.when(F.lower(text).isin(*_EMPTY_WHOLE), F.lit(BENIGN)).otherwise(text),
+
+    def by_words(words: Column) -> Column:
+        attack_at = F.array_position(words, "Malicious")
+        last = F.get(words, F.size(words) - 1)
+        return (
+            F.when(F.size(words) == 0, F.lit(BENIGN))
+            .when(attack_at > 0, F.coalesce(F.get(words, attack_at.cast("int")), F.lit("Malicious_Unknown")))
+            .when(F.lower(last) == BENIGN.lower(), F.lit(BENIGN))
+            .otherwise(last)
         )
-        .when(F.size(words) == 0, F.lit(BENIGN))
-        .when(attack_at > 0, F.coalesce(F.get(words, attack_at.cast("int")), F.lit("Malicious_Unknown")))
-        .when(F.lower(last) == BENIGN.lower(), F.lit(BENIGN))
-        .otherwise(last)
-    )
+
+    def by_text(text: Column) -> Column:
+        tabbed = text.contains("\t")
+        pieces = F.when(tabbed, F.split(text, "\t")).otherwise(F.split(text, " {3}"))
+        words = F.filter(F.transform(pieces, strip), lambda w: ~w.isin(*_EMPTY_PART))
+        whole = F.when(F.lower(text).isin(*_EMPTY_WHOLE), F.lit(BENIGN)).otherwise(text)
+        return F.when(~tabbed & ~text.contains("   "), whole).otherwise(bind(words, by_words))
+
+    return F.when(raw.isNull(), F.lit(BENIGN)).otherwise(bind(strip(raw), by_text))
 
 
 def coarse_label(raw: Column, classes: dict[str, str] = COARSE_CLASSES) -> Column:

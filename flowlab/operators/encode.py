@@ -20,9 +20,15 @@ def fit_label_encoder(df: DataFrame, col: str) -> DataFrame:
 
     The window runs over the distinct class names only.
     """
-    names = df.select(quoted(col).alias("label_str")).filter("label_str is not null").distinct()
+    return number_labels(df.select(quoted(col).alias("label_str")).distinct())
+
+
+def number_labels(names: DataFrame) -> DataFrame:
+    """Codes for a table of distinct class names ``label_str``."""
     order = Window.orderBy(F.col("label_str") != BENIGN, F.col("label_str"))
-    return names.select("label_str", (F.row_number().over(order) - 1).cast("bigint").alias("label"))
+    return names.filter("label_str is not null").select(
+        "label_str", (F.row_number().over(order) - 1).cast("bigint").alias("label")
+    )
 
 
 def encode_labels(df: DataFrame, dim: DataFrame, col: str, out: str = "label") -> DataFrame:

@@ -150,38 +150,94 @@ def mark_lowest(
     )
 
 
+def class_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(group, _rows)``: group sizes, written once."""
+    return materialize(df.groupBy(*[quoted(g) for g in group]).agg(F.count("*").alias("_rows")), "sizes")
+
+
 def take_lowest(
     df: DataFrame,
     group: Sequence[str],
     hashed: Column,
     quota: Callable[[Column], Column],
+    sizes: DataFrame | None = None,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exactly the ``quota`` rows with the lowest hashes of every group.
 
-    The wide rows are only filtered against the cut of their group.  Where copies
-    of one key sit on the cut, just those copies are ranked, first in salted parts
-    and then together, so that at most salts times quota rows meet.
+    Group sizes give each group a hash bar that a few more rows than wanted pass.
+    Wide rows are read once, filtered by the bar and written; only they are ranked.
+    Where a group comes up short (hashes of copied keys bunch up) or the quota is
+    too large to rank in one task, the exact cut point is searched instead.
     """
     by = list(group) or ["_all"]
     keyed = df.withColumn("_hash", hashed)
     if not group:
         keyed = keyed.withColumn("_all", F.lit(0))
+    keys = [quoted(k) for k in by]
+    sizes = class_sizes(keyed, by) if sizes is None else sizes
+    want = F.col("_want")
+    share = (want + 8 * F.sqrt(want) + 64) / F.col("_rows")
+    bar = F.when(share < 1, F.lpad(F.lower(F.hex((share * float(16**12)).cast("bigint"))), 12, "0")).otherwise("g")
+    bars = materialize(
+        sizes.withColumn("_want", quota(F.col("_rows")).cast("bigint")).select(*keys, "_want", bar.alias("_bar")), "bars"
+    )
+    most = bars.agg(F.max("_want")).first()[0] or 0
+    if most > leaf_rows:
+        return _take_by_cut(df, keyed, by, quota, leaf_rows)
+    near = materialize(
+        lookup(keyed, bars, by, ["_want", "_bar"], "inner")
+        .filter(F.substring("_hash", 1, 12) <= F.col("_bar"))
+        .drop("_bar"),
+        "near",
+    )
+    got = lookup(bars, near.groupBy(*keys).agg(F.count("*").alias("_got")), by, ["_got"])
+    short, extra = got.agg(
+        F.max(F.coalesce(F.col("_got"), F.lit(0)) < want), F.max(F.col("_got") - want)
+    ).first()
+    if short:
+        return _take_by_cut(df, keyed, by, quota, leaf_rows)
+    kept = _top(near, by, ["_hash", *_orderable(df)], most, salted=(extra or 0) > leaf_rows)
+    return kept.select(*[quoted(c) for c in df.columns])
+
+
+def _orderable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+
+
+def _top(rows: DataFrame, by: Sequence[str], order: Sequence[str], most: int, salted: bool) -> DataFrame:
+    """The first ``_want`` rows of each group; ``most`` is the largest ``_want``.
+
+    ``order`` covers all columns, so the choice does not depend on placement.  With
+    ``salted``, parts of a group are cut down to ``most`` rows before they meet.
+    """
+    keys, total = [quoted(k) for k in by], [quoted(o) for o in order]
+    if salted:
+        part = Window.partitionBy(*keys, "_salt").orderBy(*total)
+        rows = (
+            rows.withColumn("_salt", F.spark_partition_id() % COPY_SALTS)
+            .withColumn("_rank", F.row_number().over(part))
+            .filter(F.col("_rank") <= F.lit(most))
+            .drop("_salt", "_rank")
+        )
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*total)))
+    return ranked.filter((F.col("_rank") <= F.lit(most)) & (F.col("_rank") <= F.col("_want"))).drop("_rank")
+
+
+def _take_by_cut(
+    df: DataFrame, keyed: DataFrame, by: Sequence[str], quota: Callable[[Column], Column], leaf_rows: int
+) -> DataFrame:
+    """``take_lowest`` by exact cut points: wide rows are only filtered, never ranked.
+
+    Where copies of one key sit on a cut, just those copies are ranked.
+    """
     cuts = hash_cuts(keyed.select(*[quoted(k) for k in by], "_hash"), by, "_hash", quota, leaf_rows)
-    split, need = cuts.agg(F.max(F.col("_ties") > F.col("_need")), F.max("_need")).first()
+    split, most = cuts.agg(F.max(F.col("_ties") > F.col("_need")), F.max("_need")).first()
     joined = lookup(keyed, cuts, by, ["_cut", "_need"], "inner")
     if not split:
         kept = joined.filter(F.col("_hash") <= F.col("_cut"))
     else:
-        keys = [quoted(k) for k in by]
-        copies = joined.filter(F.col("_hash") == F.col("_cut")).withColumn(
-            "_salt", F.spark_partition_id() % COPY_SALTS
-        )
-        # a total order over the columns makes the choice independent of placement
-        total = [quoted(c) for c, t in df.dtypes if not t.startswith("map")]
-        part = Window.partitionBy(*keys, "_salt").orderBy(*total)
-        rest = Window.partitionBy(*keys).orderBy(*total)
-        first = copies.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= F.lit(need))
-        second = first.withColumn("_rank", F.row_number().over(rest)).filter(F.col("_rank") <= F.col("_need"))
-        kept = joined.filter(F.col("_hash") < F.col("_cut")).unionByName(second.drop("_salt", "_rank"))
+        copies = joined.filter(F.col("_hash") == F.col("_cut")).withColumn("_want", F.col("_need"))
+        some = _top(copies, by, _orderable(df), most, salted=True)
+        kept = joined.filter(F.col("_hash") < F.col("_cut")).unionByName(some.drop("_want"))
     return kept.select(*[quoted(c) for c in df.columns])

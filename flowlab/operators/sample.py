@@ -23,15 +23,16 @@ def stratified_sample(
     minimum: int,
     key: Sequence[str | Column],
     seed: int = 42,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``min(class size, max(target, minimum))`` rows of every class.
 
-    Covers the two-step sampling of very large classes as well: the cut point is
-    an over-sampling threshold that happens to be exact, so nothing is trimmed and
-    no class comes up short.  See ``take_lowest`` for the plan.
+    Covers the two-step sampling of very large classes as well: a hash bar lets a
+    few rows more than wanted through, which are then trimmed, and no class comes
+    up short.  ``sizes`` are known class sizes ``(label, _rows)``.
     """
-    wanted = max(target, minimum)
-    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, F.lit(wanted).cast("bigint")))
+    wanted = F.lit(max(target, minimum)).cast("bigint")
+    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, wanted), sizes)
 
 
 def take_all_or_sample(

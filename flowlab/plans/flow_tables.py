@@ -21,10 +21,11 @@ from ..operators.encode import (
     apply_ordinal_encoder,
     apply_scaler,
     encode_labels,
-    fit_label_encoder,
     fit_ordinal_encoder,
     fit_scaler,
+    number_labels,
 )
+from ..operators.ordering import class_sizes
 from ..operators.sample import stratified_sample
 from ..scratch import materialize
 
@@ -79,7 +80,8 @@ def prepare_flows(
     extra = [c for c in dict.fromkeys([*key, *keep]) if c not in features]
     typed = flows.select(*[quoted(c) for c in extra], *read, parse_zeek_label(quoted(raw)).alias("label_str"))
 
-    labels = materialize(fit_label_encoder(typed, "label_str"), "labels")
+    sizes = class_sizes(typed, ["label_str"])
+    labels = number_labels(sizes)
     constant = constant_columns(typed, features)
     features = [c for c in features if c not in constant]
     coded = [c for c in features if c in texts]
@@ -90,9 +92,8 @@ def prepare_flows(
         *[quoted(c) for c in features],
         "label_str",
     )
-    sample = materialize(
-        stratified_sample(keyed, "label_str", target, minimum, [f"_key_{i}" for i in range(len(key))], seed), "sample"
-    )
+    keys = [f"_key_{i}" for i in range(len(key))]
+    sample = stratified_sample(keyed, "label_str", target, minimum, keys, seed, sizes)
     if coded:
         dictionary = fit_ordinal_encoder(typed, coded)
         sample = apply_ordinal_encoder(sample, dictionary, coded)
@@ -126,7 +127,10 @@ def prepare_csv_flows(
     ``key`` are the columns, or expressions, that identify a row.
     """
     mapped = flows.withColumn("label_str", coarse_label(quoted(label), classes)).filter("label_str <> ''")
-    sample = materialize(stratified_sample(mapped, "label_str", target, minimum, key, seed), "sample")
+    # the sample holds every class, so class sizes name them all
+    sizes = class_sizes(mapped, ["label_str"])
+    labels = number_labels(sizes)
+    sample = stratified_sample(mapped, "label_str", target, minimum, key, seed, sizes)
     features = [c for c in sample.columns if c not in {label, "label_str", *keep}]
     texts = [c for c in text_cols(sample) if c in features]
     coded = apply_ordinal_encoder(sample, fit_ordinal_encoder(sample, texts), texts) if texts else sample
@@ -136,7 +140,6 @@ def prepare_csv_flows(
     )
     constant = constant_columns(clean, features)
     features = [c for c in features if c not in constant]
-    labels = materialize(fit_label_encoder(clean, "label_str"), "labels")
     scaled = apply_scaler(clean, fit_scaler(clean, features), features)
     table = encode_labels(scaled, labels, "label_str")
     return FeatureTable(
