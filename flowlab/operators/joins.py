@@ -9,23 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted, strip
 
-HEAVY_SHARE = 0.001
+HEAVY_ROWS = 1_000_000
 HEAVY_KEYS = 1_000
 HEAVY_PARTS = 64
 PROBE_SHARE = 0.01
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, probe: float = PROBE_SHARE) -> list:
-    """Keys that seem to hold more than ``share`` of the rows, at most 1/share of them.
+def heavy_keys(df: DataFrame, key: str, rows: int = HEAVY_ROWS, probe: float = PROBE_SHARE) -> list:
+    """Keys that seem to hold more than ``rows`` rows, the most frequent thousand of them.
 
     A probe of rows only decides where rows are placed in a join, never which rows
     take part, so a missed or needless key changes no result.
     """
     seen = df.select(quoted(key).alias("k")).filter("k is not null").sample(probe, seed=7)
-    counts = seen.groupBy("k").agg(F.count("*").alias("n"))
-    total = seen.count()
-    floor = max(100, int(total * share))
-    return [r["k"] for r in counts.filter(F.col("n") > floor).orderBy(F.desc("n")).limit(HEAVY_KEYS).collect()]
+    counts = seen.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > rows * probe)
+    return [r["k"] for r in counts.orderBy(F.desc("n")).limit(HEAVY_KEYS).collect()]
 
 
 def left_join_on(

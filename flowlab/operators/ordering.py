@@ -78,6 +78,34 @@ def running_total(
     )
 
 
+def hash_rank(
+    df: DataFrame, group: Sequence[str], hashed: Column, key: Sequence[str], out: str, digits: int = 4
+) -> DataFrame:
+    """Add the rank from 1 of every row in its group's hash order; ``key`` is unique.
+
+    Counts per hash prefix give each prefix its first rank, and rows are ranked
+    inside their prefix.  Hashes spread evenly, so a group of any size is ranked by
+    up to 16^digits tasks, with one shuffle of the rows.
+    """
+    by = list(group) or ["_all"]
+    keyed = df.withColumn("_hash", hashed).withColumn("_prefix", F.substring("_hash", 1, digits))
+    if not group:
+        keyed = keyed.withColumn("_all", F.lit(0))
+    keys = [quoted(k) for k in by]
+    # one row per group and prefix
+    before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialize(
+        keyed.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
+        .select(*keys, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
+        "ranks",
+    )
+    inside = Window.partitionBy(*keys, "_prefix").orderBy("_hash", *[quoted(k) for k in key])
+    placed = lookup(keyed, first, [*by, "_prefix"], ["_before"], "inner")
+    return placed.select(
+        *[quoted(c) for c in df.columns], (F.row_number().over(inside) + F.col("_before")).alias(out)
+    )
+
+
 def hash_cuts(
     rows: DataFrame,
     group: Sequence[str],
@@ -118,7 +146,8 @@ def hash_cuts(
         bucket = lookup(rows, found, group, ["_cut", "_need"], "inner").filter(
             F.substring(hashed, 1, prefix) == F.col("_cut")
         )
-        prefix = HASH_DIGITS if widest <= leaf_rows else prefix + 4
+        # eight digits split any number of distinct keys; copies of one key collapse when counted
+        prefix = HASH_DIGITS if prefix == 8 or widest <= leaf_rows else 8
         found = edge(bucket.drop("_cut"), prefix, F.col("_need"), ["_need"])
     return found
 
@@ -160,12 +189,13 @@ def take_lowest(
     group: Sequence[str],
     hashed: Column,
     quota: Callable[[Column], Column],
+    most: int | None = None,
     sizes: DataFrame | None = None,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exactly the ``quota`` rows with the lowest hashes of every group.
 
-    Group sizes give each group a hash bar that a few more rows than wanted pass.
+    ``most`` is an upper bound of the quota, if there is one.  Group sizes give each group a hash bar that a few more rows than wanted pass.
     Wide rows are read once, filtered by the bar and written; only they are ranked.
     Where a group comes up short (hashes of copied keys bunch up) or the quota is
     too large to rank in one task, the exact cut point is searched instead.
@@ -175,16 +205,13 @@ def take_lowest(
     if not group:
         keyed = keyed.withColumn("_all", F.lit(0))
     keys = [quoted(k) for k in by]
+    if most is None or most > leaf_rows:
+        return _take_by_cut(df, keyed, by, quota, leaf_rows)
     sizes = class_sizes(keyed, by) if sizes is None else sizes
     want = F.col("_want")
     share = (want + 8 * F.sqrt(want) + 64) / F.col("_rows")
     bar = F.when(share < 1, F.lpad(F.lower(F.hex((share * float(16**12)).cast("bigint"))), 12, "0")).otherwise("g")
-    bars = materialize(
-        sizes.withColumn("_want", quota(F.col("_rows")).cast("bigint")).select(*keys, "_want", bar.alias("_bar")), "bars"
-    )
-    most = bars.agg(F.max("_want")).first()[0] or 0
-    if most > leaf_rows:
-        return _take_by_cut(df, keyed, by, quota, leaf_rows)
+    bars = sizes.withColumn("_want", quota(F.col("_rows")).cast("bigint")).select(*keys, "_want", bar.alias("_bar"))
     near = materialize(
         lookup(keyed, bars, by, ["_want", "_bar"], "inner")
         .filter(F.substring("_hash", 1, 12) <= F.col("_bar"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import below_fraction, hash_order, quoted
-from .ordering import lookup, mark_lowest, running_total, take_lowest
+from .ordering import class_sizes, hash_rank, lookup, mark_lowest, take_lowest
 
 
 def _hash(key: Sequence[str | Column], seed: int) -> Column:
@@ -31,8 +31,9 @@ def stratified_sample(
     few rows more than wanted through, which are then trimmed, and no class comes
     up short.  ``sizes`` are known class sizes ``(label, _rows)``.
     """
-    wanted = F.lit(max(target, minimum)).cast("bigint")
-    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, wanted), sizes)
+    most = max(target, minimum)
+    wanted = F.lit(most).cast("bigint")
+    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, wanted), most, sizes)
 
 
 def take_all_or_sample(
@@ -65,13 +66,12 @@ def shuffle_rows(
     """All rows in hash order (a range-partitioned sort).
 
     ``index`` adds the new row number from 0; ``key`` is then made of column names
-    and unique, and the numbers come from running totals over range blocks.
+    and unique, and rows are numbered by many tasks instead of sorted as a whole.
     """
     hashed = _hash(key, seed)
     if index is None:
         return df.orderBy(hashed)
-    numbered = running_total(df.withColumn("_hash", hashed), ["_hash", *key], {index: F.lit(1).cast("bigint")})
-    return numbered.withColumn(index, F.col(index) - 1).drop("_hash")
+    return hash_rank(df, [], hashed, key, index).withColumn(index, F.col(index) - 1)
 
 
 def shuffle_for_training(
@@ -129,17 +129,16 @@ def assign_batches(
 ) -> DataFrame:
     """Add ``batch_id``: full batches of ``size`` rows per client, the remainder dropped.
 
-    Rows are numbered in hash order by running totals over range blocks, so a
-    client that owns half the table is numbered by many tasks.  ``key`` is unique.
+    Rows are numbered in hash order; a client that owns half the table is numbered
+    by many tasks.  ``key`` is unique.
     """
-    hashed = df.withColumn("_hash", _hash(key, seed))
-    numbered = running_total(hashed, ["_hash", *key], {"_row": F.lit(1).cast("bigint")}, by)
-    sizes = df.groupBy(*[quoted(b) for b in by]).agg(F.count("*").alias("_rows"))
-    with_size = lookup(numbered, sizes, by, ["_rows"])
+    numbered = hash_rank(df, by, _hash(key, seed), key, "_row")
+    sizes = class_sizes(df, by)
     return (
-        with_size.withColumn("batch_id", F.floor((F.col("_row") - 1) / size))
+        lookup(numbered, sizes, by, ["_rows"])
+        .withColumn("batch_id", F.floor((F.col("_row") - 1) / size))
         .filter(F.col("batch_id") < F.floor(F.col("_rows") / size))
-        .drop("_hash", "_row", "_rows")
+        .drop("_row", "_rows")
     )
 
 

@@ -35,27 +35,35 @@ def traffic_counts(uid: str | None = "uid", approximate: bool = False) -> list[C
     return [*flows, F.count("*").alias("packet_count")]
 
 
-def text_features(cols: Sequence[str]) -> list[Column]:
-    """Non-NULL count and distinct count of every column."""
+def text_features(cols: Sequence[str], approximate: bool = False) -> list[Column]:
+    """Non-NULL count and distinct count of every column.
+
+    Exact distinct counts multiply the shuffled rows by the number of columns; the
+    approximate ones do not.
+    """
+    distinct = F.approx_count_distinct if approximate else F.countDistinct
     return [a for c in cols for a in (
         F.count(quoted(c)).alias(f"{c}_count"),
-        F.countDistinct(quoted(c)).alias(f"{c}_nunique"),
+        distinct(quoted(c)).alias(f"{c}_nunique"),
     )]
 
 
-def edge_features(cols: Sequence[str], order: Sequence[str], distinct: bool = True) -> list[Column]:
+def edge_features(cols: Sequence[str], order: Sequence[str], approximate: bool = False) -> list[Column]:
     """First and last non-NULL value by ``order``, and the distinct count.
 
     The order is explicit, so the result does not depend on how rows arrive, and
     the aggregates merge: only one candidate per window and task is shuffled.
     """
     when = F.struct(*[quoted(o) for o in order])
+    distinct = F.approx_count_distinct if approximate else F.countDistinct
     out = []
     for c in cols:
         at = F.when(quoted(c).isNotNull(), when)
-        out += [F.min_by(quoted(c), at).alias(f"{c}_first"), F.max_by(quoted(c), at).alias(f"{c}_last")]
-        if distinct:
-            out.append(F.countDistinct(quoted(c)).alias(f"{c}_nunique"))
+        out += [
+            F.min_by(quoted(c), at).alias(f"{c}_first"),
+            F.max_by(quoted(c), at).alias(f"{c}_last"),
+            distinct(quoted(c)).alias(f"{c}_nunique"),
+        ]
     return out
 
 
@@ -69,11 +77,16 @@ def window_features(
     uid: str | None = None,
     order: Sequence[str] = (),
     extra: Sequence[Column] = (),
+    approximate: bool = False,
 ) -> DataFrame:
     """One row per non-empty window with the chosen features; a single aggregate."""
-    aggs = [*numeric_features(numeric), *text_features(text), *edge_features(edges, order or [ts])]
+    aggs = [
+        *numeric_features(numeric),
+        *text_features(text, approximate),
+        *edge_features(edges, order or [ts], approximate),
+    ]
     if uid:
-        aggs += traffic_counts(uid)
+        aggs += traffic_counts(uid, approximate)
     return windowed(df, size, ts).groupBy(START).agg(*aggs, *extra)
 
 
