@@ -182,14 +182,21 @@ def federated_fit(
 ) -> tuple[list[float], DataFrame]:
     """Federated rounds: local updates, weighted average, evaluation, telemetry.
 
-    Each round is a Spark job over shards that stay partitioned by client and
-    shard.  Only the averaged model, whose size the feature list fixes, returns to
+    Shards are partitioned and sorted once and kept, so rounds neither shuffle nor
+    sort the rows again.  Only the averaged model, whose size the feature list fixes, returns to
     the driver.  Gives the final weights and a telemetry table.
     """
     from ..sources.telemetry import to_telemetry
 
     spark = df.sparkSession
-    shards = prepare_shards(df, features, label, key, shard_rows).repartition("client_id", "shard").persist()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = (
+        prepare_shards(df, features, label, key, shard_rows)
+        .repartition(width, "client_id", "shard")
+        .sortWithinPartitions("client_id", "shard")
+        .persist()
+    )
+    shards.count()
     weights = initial_weights(len(features), classes)
     path = scratch_path(spark, "rounds")
     try:

@@ -133,8 +133,10 @@ def summarise_experiments(telemetry: DataFrame, include_aggregate: bool = False)
         per_round = _unpivot(hidden, ["condition"], ROUND_METRICS)
     final = (
         _unpivot(rounds, ["condition", "run", "server_round"], FINAL_METRICS)
+        .groupBy("condition", "run", "metric", "server_round")
+        .agg(F.max("value").alias("value"))
         .groupBy("condition", "run", "metric")
-        .agg(F.max(F.struct("server_round", "value"))["value"].alias("value"))
+        .agg(F.max_by("value", "server_round").alias("value"))
         .filter("metric <> 'epsilon_consumed' or value >= 0")
         .select("condition", "metric", "value")
     )

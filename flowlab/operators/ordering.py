@@ -87,10 +87,8 @@ def hash_rank(
     inside their prefix.  Hashes spread evenly, so a group of any size is ranked by
     up to 16^digits tasks, with one shuffle of the rows.
     """
-    by = list(group) or ["_all"]
+    by = list(group)
     keyed = df.withColumn("_hash", hashed).withColumn("_prefix", F.substring("_hash", 1, digits))
-    if not group:
-        keyed = keyed.withColumn("_all", F.lit(0))
     keys = [quoted(k) for k in by]
     # one row per group and prefix
     before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,6 +122,7 @@ def hash_cuts(
     ``_need`` (rows to keep with exactly that hash) and ``_ties`` (rows having it).
     """
     keys = [quoted(g) for g in group]
+    # windows over counts: at most 16^4 prefixes, or one small bucket, per group
     running = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
 
@@ -143,12 +142,11 @@ def hash_cuts(
     found = edge(rows, prefix, quota(F.col("_rows")))
     while prefix < HASH_DIGITS:
         widest = found.agg(F.max("_ties")).first()[0] or 0
-        bucket = lookup(rows, found, group, ["_cut", "_need"], "inner").filter(
-            F.substring(hashed, 1, prefix) == F.col("_cut")
-        )
+        at = rows.withColumn("_prefix", F.substring(hashed, 1, prefix))
+        bucket = lookup(at, found.withColumnRenamed("_cut", "_prefix"), [*group, "_prefix"], ["_need"], "inner")
         # eight digits split any number of distinct keys; copies of one key collapse when counted
         prefix = HASH_DIGITS if prefix == 8 or widest <= leaf_rows else 8
-        found = edge(bucket.drop("_cut"), prefix, F.col("_need"), ["_need"])
+        found = edge(bucket, prefix, F.col("_need"), ["_need"])
     return found
 
 
@@ -165,18 +163,18 @@ def mark_lowest(
     Rows that share a hash share a key and get one answer together: the one that
     comes closer to the quota.  With unique keys the count is exact.
     """
-    by = list(group) or ["_all"]
     keyed = df.withColumn("_hash", hashed)
-    if not group:
-        keyed = keyed.withColumn("_all", F.lit(0))
-    cuts = hash_cuts(keyed.select(*[quoted(k) for k in by], "_hash"), by, "_hash", quota, leaf_rows)
-    inside = (F.col("_hash") < F.col("_cut")) | (
-        (F.col("_hash") == F.col("_cut")) & (F.col("_need") * 2 >= F.col("_ties"))
-    )
-    marked = lookup(keyed, cuts, by, ["_cut", "_need", "_ties"])
-    return marked.select(
-        *[quoted(c) for c in df.columns], F.coalesce(inside, F.lit(False)).alias(flag)
-    )
+    cuts = hash_cuts(keyed.select(*[quoted(g) for g in group], "_hash"), group, "_hash", quota, leaf_rows)
+    with_ties = F.col("_need") * 2 >= F.col("_ties")
+    if group:
+        marked = lookup(keyed, cuts.select(*[quoted(g) for g in group], "_cut", with_ties.alias("_with")), group, ["_cut", "_with"])
+        cut, tied = F.col("_cut"), F.col("_with")
+    else:
+        only = cuts.select("_cut", with_ties.alias("_with")).first()
+        marked = keyed
+        cut, tied = F.lit(only["_cut"] if only else ""), F.lit(bool(only and only["_with"]))
+    inside = (F.col("_hash") < cut) | ((F.col("_hash") == cut) & tied)
+    return marked.select(*[quoted(c) for c in df.columns], F.coalesce(inside, F.lit(False)).alias(flag))
 
 
 def class_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -200,10 +198,8 @@ def take_lowest(
     Where a group comes up short (hashes of copied keys bunch up) or the quota is
     too large to rank in one task, the exact cut point is searched instead.
     """
-    by = list(group) or ["_all"]
+    by = list(group)
     keyed = df.withColumn("_hash", hashed)
-    if not group:
-        keyed = keyed.withColumn("_all", F.lit(0))
     keys = [quoted(k) for k in by]
     if most is None or most > leaf_rows:
         return _take_by_cut(df, keyed, by, quota, leaf_rows)
