@@ -58,7 +58,8 @@ def renyi_curve_fractional(configs: DataFrame, max_order: float = 11.0, points:
     orders = F.sequence(F.lit(11), F.lit(int(round(max_order * 10)) - 1))
     grid = (
         configs.select("q", "sigma").distinct()
-        .withColumn("alpha", F.explode(orders) / F.lit(10.0))
+        .withColumn("_tenths", F.explode(orders))
+        .withColumn("alpha", F.col("_tenths") / F.lit(10.0))
         .withColumn("_step", (a + 30 * s) / F.lit(float(points)))
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points))))
         .withColumn("_at", F.col("_i") * F.col("_step") - 15 * s)
