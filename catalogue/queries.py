@@ -909,6 +909,16 @@ def q_evaluate_clients(spark, folder):
     return rounded(rounded(scores, 5, "loss"), 6, "accuracy")
 
 
+@query()
+def q_private_rounds(spark, folder):
+    # sealed updates and private steps
+    _, rounds = learn.federated_fit(
+        _client_rows(spark, folder), FEATURES, "label", CLASSES, "vec_id", rounds=2, noise=learn.Noise(),
+        secret=_secret(spark, folder), test=0.2, condition="C_pqc_dp",
+    )
+    return rounds.drop("train_time_ms", "pqc_total_overhead_ms", "pqc_encap_ms", "sym_enc_ms")
+
+
 @query()
 def q_baseline_scores(spark, folder):
     days = (F.unix_timestamp("l_shipdate") / 86400.0).alias("days")

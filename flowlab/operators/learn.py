@@ -9,6 +9,7 @@ as if alone; a client that owns a third of the data trains on many executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -18,15 +19,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_order, quoted
 from ..functions.vectors import assemble
 from ..scratch import materialize, scratch_path
+from ..sources.telemetry import append_telemetry, round_metrics, to_telemetry
 from .encode import apply_scaler, fit_scaler
 from .metrics import AGGREGATE, weighted_metrics, weighted_vector_mean
 from .ordering import lookup
+from .privacy import open_sealed, privacy_ledger, round_keys, seal
 from .sample import stratified_split
 
 SHARD_ROWS = 50_000
 PLAIN_TERMS = 512
 
-UPDATE = "client_id int, shard int, num_examples bigint, weights array<double>, loss double, train_time_ms double"
+UPDATE = "client_id int, shard int, num_examples bigint, weights array<double>, loss double, train_ns bigint"
 
 
 def initial_weights(features: int, classes: int) -> list[float]:
@@ -50,10 +53,22 @@ def prepare_shards(
     )
 
 
+@dataclass(frozen=True)
+class Noise:
+    """Gaussian noise on clipped example gradients, and the delta of its budget."""
+
+    sigma: float = 1.1
+    clip: float = 1.0
+    delta: float = 1e-5
+    seed: int = 42
+
+
 def _shard_trainer(
-    weights: Sequence[float], classes: int, epochs: int, rate: float, batch: int, mu: float
+    weights: Sequence[float], classes: int, epochs: int, rate: float, batch: int, mu: float,
+    noise: Noise | None = None, number: int = 0,
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
     start = list(weights)
+    sigma, clip, seed = (noise.sigma, noise.clip, noise.seed) if noise else (0.0, 0.0, 0)
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         import time as clock
@@ -63,6 +78,8 @@ def _shard_trainer(
 
         began = clock.perf_counter_ns()
         rows = rows.sort_values("order", kind="stable")
+        client, shard = int(rows["client_id"].iloc[0]), int(rows["shard"].iloc[0])
+        draw = np.random.default_rng([seed, number, client, shard])
         x = np.column_stack([np.stack(rows["x"].to_numpy()), np.ones(len(rows))])
         y = np.eye(classes)[rows["label"].to_numpy()]
         anchor = np.asarray(start).reshape(classes, -1)
@@ -77,15 +94,23 @@ def _shard_trainer(
                 p = np.exp(scores)
                 p /= p.sum(axis=1, keepdims=True)
                 losses.append(-np.log(np.clip((p * yb).sum(axis=1), 1e-12, None)).mean())
-                w -= rate * ((p - yb).T @ xb / size + mu * (w - anchor))
+                error = p - yb
+                if clip > 0:
+                    # an example's gradient is an outer product, so its length is too
+                    length = np.linalg.norm(error, axis=1) * np.linalg.norm(xb, axis=1)
+                    error = error / np.maximum(1.0, length / clip)[:, None]
+                step = error.T @ xb
+                if sigma > 0:
+                    step = step + draw.normal(0.0, sigma * clip, step.shape)
+                w -= rate * (step / size + mu * (w - anchor))
         return pds.DataFrame(
             {
-                "client_id": [int(rows["client_id"].iloc[0])],
-                "shard": [int(rows["shard"].iloc[0])],
+                "client_id": [client],
+                "shard": [shard],
                 "num_examples": [len(x)],
                 "weights": [w.ravel().tolist()],
                 "loss": [float(np.mean(losses))],
-                "train_time_ms": [(clock.perf_counter_ns() - began) / 1e6],
+                "train_ns": [clock.perf_counter_ns() - began],
             }
         )
 
@@ -100,29 +125,38 @@ def local_update(
     rate: float = 0.1,
     batch: int = 32,
     mu: float = 0.0,
+    noise: Noise | None = None,
+    number: int = 0,
 ) -> DataFrame:
     """One training round per client from the given global weights.
 
     ``shards`` comes from ``prepare_shards``.  Whole mini-batches only, as the step
     counts of the privacy ledger assume.  ``mu`` pulls local weights towards the
-    global ones (proximal term).  Returns ``(client_id, num_examples, weights,
-    loss, train_time_ms)``, one row per client.
+    global ones (proximal term); ``noise`` clips example gradients and adds Gaussian
+    noise to each step.  Returns ``(client_id, num_examples, weights, loss,
+    train_ns)``, one row per client.
     """
-    trained = materialize(
-        shards.groupBy("client_id", "shard").applyInPandas(
-            _shard_trainer(weights, classes, epochs, rate, batch, mu), UPDATE
-        ),
-        "updates",
+    trained = shards.groupBy("client_id", "shard").applyInPandas(
+        _shard_trainer(weights, classes, epochs, rate, batch, mu, noise, number), UPDATE
     )
+    # one aggregate for model and notes, so that shards train once
     n = F.col("num_examples")
-    notes = trained.groupBy("client_id").agg(
-        F.sum(n).alias("num_examples"),
+    elements = trained.select("client_id", "num_examples", "loss", "train_ns", F.posexplode("weights").alias("pos", "w"))
+    means = elements.groupBy("client_id", "pos").agg(
+        (F.sum(F.col("w") * n) / F.sum(n)).alias("x"),
         (F.sum(F.col("loss") * n) / F.sum(n)).alias("loss"),
-        F.max("train_time_ms").alias("train_time_ms"),
+        F.sum(n).alias("num_examples"),
+        F.max("train_ns").alias("train_ns"),
     )
-    means = weighted_vector_mean(trained, ["client_id"], "weights", "num_examples")
-    return notes.join(means, "client_id").select(
-        "client_id", "num_examples", "weights", "loss", "train_time_ms"
+    return (
+        means.groupBy("client_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_cells"),
+            F.max("num_examples").alias("num_examples"),
+            F.max("loss").alias("loss"),
+            F.max("train_ns").alias("train_ns"),
+        )
+        .select("client_id", "num_examples", F.col("_cells.x").alias("weights"), "loss", "train_ns")
     )
 
 
@@ -176,60 +210,107 @@ def federated_fit(
     rate: float = 0.1,
     batch: int = 32,
     mu: float = 0.0,
+    noise: Noise | None = None,
+    secret: DataFrame | None = None,
+    test: float = 0.0,
     condition: str = "A_baseline",
     run: int = 1,
     shard_rows: int = SHARD_ROWS,
 ) -> tuple[list[float], DataFrame]:
     """Federated rounds: local updates, weighted average, evaluation, telemetry.
 
+    ``mu`` switches on the proximal term and ``noise`` private steps, whose budget
+    is logged per client and round.  With a one-row ``secret`` table client weights
+    travel sealed under a key of their round.  The model is evaluated on the
+    training rows, or on a stratified share ``test`` that no client trains on.
+
     Shards are partitioned and sorted once and kept, so rounds neither shuffle nor
-    sort the rows again.  Only the averaged model, whose size the feature list fixes, returns to
-    the driver.  Gives the final weights and a telemetry table.
+    sort the rows again.  Only the averaged model, whose size the feature list
+    fixes, returns to the driver.  Gives the final weights and a telemetry table.
     """
-    from ..sources.telemetry import to_telemetry
-
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = stratified_split(df, label, test, [key]) if test > 0 else df
     shards = (
-        prepare_shards(df, features, label, key, shard_rows)
+        prepare_shards(marked.filter("not is_test") if test > 0 else marked, features, label, key, shard_rows)
         .repartition(width, "client_id", "shard")
         .sortWithinPartitions("client_id", "shard")
         .persist()
     )
-    shards.count()
+    sizes = materialize(shards.groupBy("client_id").agg(F.count("*").alias("n")), "sizes")
+    judged = shards
+    if test > 0:
+        judged = marked.filter("is_test").select(
+            F.col("client_id").cast("int").alias("client_id"),
+            quoted(label).cast("int").alias("label"),
+            assemble(list(features)).alias("x"),
+        ).persist()
+    budget = None
+    if noise:
+        plan = sizes.select(
+            "client_id", "n", F.lit(noise.sigma).alias("sigma"), F.lit(noise.delta).alias("delta"),
+            F.lit(True).alias("dp_enabled"),
+        )
+        budget = materialize(privacy_ledger(plan, rounds, epochs, batch, fractional=noise.sigma < 1), "budget")
     weights = initial_weights(len(features), classes)
     path = scratch_path(spark, "rounds")
     try:
         for number in range(1, rounds + 1):
-            updates = materialize(local_update(shards, weights, classes, epochs, rate, batch, mu), "clients")
-            everyone = updates.withColumn("_all", F.lit(0))
-            weights = list(weighted_vector_mean(everyone, ["_all"], "weights", "num_examples").first()["weights"])
-            scores = materialize(evaluate_clients(shards, weights, classes, len(features)), "scores")
-            stamp = [F.lit(condition).alias("condition"), F.lit(run).alias("run"), F.lit(number).alias("server_round")]
-            fitted = updates.select(
-                *stamp, F.col("client_id").cast("string"), "train_time_ms",
-                F.lit(False).alias("is_encrypted"), F.lit(False).alias("dp_enabled"),
-                F.lit(-1.0).alias("epsilon_consumed"),
-                (F.size("weights") * 8).cast("bigint").alias("plaintext_payload_bytes"),
-                (F.size("weights") * 8).cast("bigint").alias("encrypted_payload_bytes"),
+            updates = materialize(
+                local_update(shards, weights, classes, epochs, rate, batch, mu, noise, number)
+                .withColumn("server_round", F.lit(number)),
+                "clients",
             )
-            total = weighted_metrics(scores.withColumn("_all", F.lit(0)), ["_all"])
+            sent = _travel(updates, secret)
+            weights = list(weighted_vector_mean(sent, ["server_round"], "weights", "num_examples").first()["weights"])
+            scores = materialize(
+                evaluate_clients(judged, weights, classes, len(features)).withColumn("server_round", F.lit(number)),
+                "scores",
+            )
+            stamp = [F.lit(condition).alias("condition"), F.lit(run).alias("run")]
+            spent = budget.filter(F.col("server_round") == number) if noise else None
+            fitted = lookup(sent, spent, ["client_id"], ["epsilon"]) if noise else sent.withColumn(
+                "epsilon", F.lit(None).cast("double"))
+            clock = F.lit(None).cast("bigint")
+            fit_rows = round_metrics(fitted.select(
+                *stamp, "server_round", "client_id", "train_ns", "plain_bytes", "sealed_bytes", "epsilon",
+                clock.alias("encap_ns"), clock.alias("sym_enc_ns"),
+            ))
+            total = weighted_metrics(scores, ["server_round"])
             joint = total.select(
-                *stamp, F.lit(AGGREGATE).alias("client_id"), "global_loss", "global_accuracy",
+                *stamp, "server_round", F.lit(AGGREGATE).alias("client_id"), "global_loss", "global_accuracy",
                 F.lit(AGGREGATE).alias("eval_client_id"),
                 F.col("global_loss").alias("eval_loss"), F.col("global_accuracy").alias("eval_accuracy"),
             )
-            own = scores.select(
-                *stamp, F.col("client_id").cast("string"), F.col("client_id").cast("string").alias("eval_client_id"),
+            own = lookup(scores, total, ["server_round"], ["global_loss", "global_accuracy"]).select(
+                *stamp, "server_round", "client_id", "global_loss", "global_accuracy",
+                F.col("client_id").alias("eval_client_id"),
                 F.col("loss").alias("eval_loss"), F.col("accuracy").alias("eval_accuracy"),
-                total.select("global_loss").scalar().alias("global_loss"),
-                total.select("global_accuracy").scalar().alias("global_accuracy"),
             )
-            rows = to_telemetry(fitted).unionByName(to_telemetry(joint)).unionByName(to_telemetry(own))
-            rows.write.mode("append").parquet(path)
+            rows = fit_rows.unionByName(to_telemetry(joint)).unionByName(to_telemetry(own))
+            append_telemetry(rows, path)
     finally:
         shards.unpersist()
-    return weights, spark.read.parquet(path)
+        judged.unpersist()
+    return weights, spark.read.schema(to_telemetry(df.limit(0).select()).schema).parquet(path)
+
+
+def _travel(updates: DataFrame, secret: DataFrame | None) -> DataFrame:
+    """Client weights as they arrive: sealed and opened again when there is a secret."""
+    body = F.to_json("weights")
+    if secret is None:
+        return updates.withColumn("plain_bytes", F.octet_length(body).cast("bigint")).withColumn(
+            "sealed_bytes", F.lit(None).cast("bigint")
+        )
+    keys = round_keys(updates, secret)
+    closed = seal(updates.withColumn("body", body).drop("weights"), "body", keys, max_keys=None)
+    opened = open_sealed(closed, "sealed", keys, max_keys=None)
+    return (
+        opened.filter("plain is not null")
+        .withColumn("weights", F.from_json(F.col("plain").cast("string"), "array<double>"))
+        .withColumn("sealed_bytes", F.octet_length("sealed").cast("bigint"))
+        .drop("plain", "sealed")
+    )
 
 
 def fit_baseline(

@@ -166,24 +166,31 @@ def round_keys(rounds: DataFrame, secret: DataFrame, keep_from: int | None = Non
     return live.select("server_round", F.unhex(F.sha2(text, 256)).alias("key"))
 
 
-def seal(df: DataFrame, col: str, keys: DataFrame, out: str = "sealed", max_keys: int = 100_000) -> DataFrame:
+def _with_key(df: DataFrame, keys: DataFrame, max_keys: int | None) -> DataFrame:
+    side = keys if max_keys is None else broadcast_if_small(keys, max_keys)
+    return df.join(side, "server_round", "left")
+
+
+def seal(
+    df: DataFrame, col: str, keys: DataFrame, out: str = "sealed", max_keys: int | None = 100_000
+) -> DataFrame:
     """AES-GCM encrypt a binary or text column with the key of its round.
 
     Adds ``out`` (nonce, body and tag; 28 bytes more than the input) and
-    ``plain_bytes``, and drops the plain column.  Rows without a key get NULL.
+    ``plain_bytes``, and drops the plain column.  Rows without a key get NULL.  Up to
+    ``max_keys`` keys are counted and broadcast; with None the planner decides.
     """
     plain = quoted(col).cast("binary")
-    keyed = df.join(broadcast_if_small(keys, max_keys), "server_round", "left")
     return (
-        keyed.withColumn(out, F.aes_encrypt(plain, F.col("key"), F.lit("GCM")))
+        _with_key(df, keys, max_keys).withColumn(out, F.aes_encrypt(plain, F.col("key"), F.lit("GCM")))
         .withColumn("plain_bytes", F.octet_length(plain).cast("bigint"))
         .drop("key", col)
     )
 
 
 def open_sealed(
-    df: DataFrame, col: str, keys: DataFrame, out: str = "plain", max_keys: int = 100_000
+    df: DataFrame, col: str, keys: DataFrame, out: str = "plain", max_keys: int | None = 100_000
 ) -> DataFrame:
     """Decrypt a sealed column; NULL where the round has no key or the body was changed."""
-    keyed = df.join(broadcast_if_small(keys, max_keys), "server_round", "left")
-    return keyed.withColumn(out, F.try_aes_decrypt(quoted(col), F.col("key"), F.lit("GCM"))).drop("key", col)
+    keyed = _with_key(df, keys, max_keys)
+    return keyed.withColumn(out, F.try_aes_decrypt(quoted(col), F.col("key"), F.lit("GCM"))).drop("key")

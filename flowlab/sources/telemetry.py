@@ -64,11 +64,13 @@ def round_metrics(updates: DataFrame) -> DataFrame:
     """Telemetry rows of client updates: sizes, clocks and flags of one round.
 
     ``updates`` has the identifying columns, ``plain_bytes``, ``sealed_bytes`` (NULL
-    when sent plain), ``encap_ns``, ``sym_enc_ns``, ``train_ns`` and ``epsilon``.
+    when sent plain), ``encap_ns``, ``sym_enc_ns``, ``train_ns`` and ``epsilon`` (NULL
+    when noise is off).  Plain payloads count as 0 ms of sealing; a sealed payload
+    whose clocks were not read has NULL.
     """
     sealed = F.col("sealed_bytes").isNotNull()
-    encap = F.coalesce(F.col("encap_ns") / 1e6, F.lit(0.0))
-    enc = F.coalesce(F.col("sym_enc_ns") / 1e6, F.lit(0.0))
+    encap = F.when(sealed, F.col("encap_ns") / 1e6).otherwise(F.lit(0.0))
+    enc = F.when(sealed, F.col("sym_enc_ns") / 1e6).otherwise(F.lit(0.0))
     return to_telemetry(
         updates.select(
             "condition", "run", "server_round", F.col("client_id").cast("string").alias("client_id"),

@@ -58,6 +58,29 @@ def test_rounds_learn_and_log(spark, rows):
     assert {r["global_accuracy"] for r in own} == {joint[3]["global_accuracy"]}
 
 
+def test_sealed_private_rounds(spark, rows):
+    secret = spark.createDataFrame([("s3cret",)], "secret string")
+    plain, _ = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=2)
+    closed, log = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=2, secret=secret, condition="B_pqc_only")
+    assert closed == pytest.approx(plain)
+    fit = log.filter("is_encrypted").collect()
+    assert len(fit) == 4 and all(r["encrypted_payload_bytes"] == r["plaintext_payload_bytes"] + 28 for r in fit)
+    assert all(r["epsilon_consumed"] == -1.0 and not r["dp_enabled"] and r["sym_enc_ms"] is None for r in fit)
+    noisy, log = learn.federated_fit(
+        rows, ["a", "b"], "label", 3, "id", rounds=2, secret=secret, noise=learn.Noise(sigma=2.0), test=0.2)
+    again, _ = learn.federated_fit(
+        rows.repartition(5), ["a", "b"], "label", 3, "id", rounds=2, noise=learn.Noise(sigma=2.0), test=0.2)
+    assert noisy == pytest.approx(again) and noisy != pytest.approx(plain, rel=1e-3)
+    spent = {(r["client_id"], r["server_round"]): r["epsilon_consumed"] for r in log.filter("dp_enabled").collect()}
+    assert len(spent) == 4 and spent["0", 2] > spent["0", 1] > 0
+
+
+def test_clipping_bounds_a_step(spark, rows):
+    loud = rows.withColumn("a", F.col("a") * 1000)
+    held = trained(spark, loud, epochs=1, rate=1.0, batch=10**6, noise=learn.Noise(sigma=0.0, clip=0.5))
+    assert all(np.linalg.norm(r["weights"]) <= 0.5 + 1e-9 for r in held.values())
+
+
 @pytest.mark.parametrize("terms", [0, 512])
 def test_evaluation(spark, rows, terms, monkeypatch):
     monkeypatch.setattr(learn, "PLAIN_TERMS", terms)
