@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,7 @@ from .privacy import open_sealed, privacy_ledger, round_keys, seal
 from .sample import stratified_split
 
 SHARD_ROWS = 50_000
-PLAIN_TERMS = 512
+PLAIN_TERMS = 256
 
 UPDATE = "client_id int, shard int, num_examples bigint, weights array<double>, loss double, train_ns bigint"
 
@@ -160,18 +159,22 @@ def local_update(
     )
 
 
-def class_scores(x: Column, weights: Sequence[float], classes: int, features: int) -> list[Column]:
-    """Linear class scores of a feature array as column expressions."""
+def class_scores(x: str, weights: Sequence[float], classes: int, features: int) -> list[Column]:
+    """Linear class scores of the feature array in column ``x``.
+
+    Short models are written out as sums, which compile to plain arithmetic; longer
+    ones fold over constant arrays.  SQL text keeps thousands of constants cheap to build.
+    """
+    name = "`" + x.replace("`", "``") + "`"
     width = features + 1
     out = []
     for c in range(classes):
-        row = [float(v) for v in weights[c * width : (c + 1) * width]]
+        *row, bias = [f"{float(v)!r}D" for v in weights[c * width : (c + 1) * width]]
         if classes * width <= PLAIN_TERMS:
-            parts = [F.get(x, F.lit(i)) * F.lit(row[i]) for i in range(features)]
-            out.append(reduce(lambda a, b: a + b, parts, F.lit(row[-1])))
+            out.append(F.expr(" + ".join([bias, *[f"get({name}, {i}) * {w}" for i, w in enumerate(row)]])))
         else:
-            products = F.zip_with(x, F.array(*[F.lit(v) for v in row[:-1]]), lambda a, b: a * b)
-            out.append(F.aggregate(products, F.lit(row[-1]), lambda acc, v: acc + v))
+            products = f"zip_with({name}, array({', '.join(row)}), (a, b) -> a * b)"
+            out.append(F.expr(f"aggregate({products}, {bias}, (total, v) -> total + v)"))
     return out
 
 
@@ -182,7 +185,7 @@ def evaluate_clients(
     scored = df.select(
         "client_id",
         quoted(label).alias("_y"),
-        F.array(*class_scores(quoted(x), weights, classes, features)).alias("_s"),
+        F.array(*class_scores(x, weights, classes, features)).alias("_s"),
     )
     top = F.array_max("_s")
     total = F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + F.exp(v - top))

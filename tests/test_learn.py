@@ -81,7 +81,7 @@ def test_clipping_bounds_a_step(spark, rows):
     assert all(np.linalg.norm(r["weights"]) <= 0.5 + 1e-9 for r in held.values())
 
 
-@pytest.mark.parametrize("terms", [0, 512])
+@pytest.mark.parametrize("terms", [0, 256])
 def test_evaluation(spark, rows, terms, monkeypatch):
     monkeypatch.setattr(learn, "PLAIN_TERMS", terms)
     w = np.arange(9).reshape(3, 3) / 5 - 0.7
