@@ -396,7 +396,7 @@ from c group by 1, 2
 def q_weighted_vector_mean(spark, folder):
     updates = A.view(spark, folder, A.UPDATES, "embeddings")
     return _elements(
-        metrics.weighted_vector_mean(updates, ["server_round"], "weights", "num_examples", dim=64),
+        metrics.weighted_vector_mean(updates, ["server_round"], "weights", "num_examples"),
         ["server_round"], "weights",
     )
 
@@ -822,7 +822,7 @@ from c join n on c.client_id = n.client_id group by 1, 2
 """)
 def q_clipped_vector_sum(spark, folder):
     updates = A.view(spark, folder, A.UPDATES, "embeddings")
-    mean = privacy.dp_vector_mean(updates, ["server_round"], "weights", clip=1.0, sigma=0.0, dim=64)
+    mean = privacy.dp_vector_mean(updates, ["server_round"], "weights", clip=1.0, sigma=0.0)
     return _elements(mean, ["server_round"], "weights")
 
 

@@ -73,6 +73,12 @@ def apply_ordinal_encoder(df: DataFrame, dictionary: DataFrame, cols: Sequence[s
     return out.select(*[codes[c].alias(c) if c in codes else quoted(c) for c in df.columns])
 
 
+def restrict_dictionary(dictionary: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Only the entries a small table needs, so a dictionary of billions is never shuffled."""
+    needed = F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("value")) for c in cols])
+    return dictionary.join(df.select(F.inline(needed)), ["col", "value"], "left_semi")
+
+
 def ordinal_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text columns to ordinal codes in one call."""
     return apply_ordinal_encoder(df, fit_ordinal_encoder(df, cols), cols)

@@ -24,7 +24,6 @@ ROUND_METRICS = (
 FINAL_METRICS = ("epsilon_consumed", "global_accuracy", "global_loss")
 
 AGGREGATE = "aggregate"
-WIDE_VECTOR = 128
 
 
 def class_distribution(df: DataFrame, col: str) -> DataFrame:
@@ -42,32 +41,13 @@ def attack_ratio(df: DataFrame, is_attack: Column) -> DataFrame:
     )
 
 
-def vector_totals(
-    df: DataFrame, group: Sequence[str], vec: Column, weight: Column, dim: int | None = None
-) -> DataFrame:
+def vector_totals(df: DataFrame, group: Sequence[str], vec: Column, weight: Column) -> DataFrame:
     """``(group, pos, total, weight)``: weighted element sums per group.
 
-    With a known short ``dim`` the sums are plain columns of one aggregate and no
-    row is multiplied.  Otherwise elements are exploded; partial aggregation keeps
-    the shuffle at one row per group, position and task.
+    Elements are exploded and summed by position.  Partial aggregation keeps the
+    shuffle at one row per group, position and task, whatever the number of vectors.
     """
     keys = [quoted(g) for g in group]
-    if dim is not None and dim <= WIDE_VECTOR:
-        rows = df.select(*keys, vec.alias("_v"), weight.cast("double").alias("_w"))
-        sums = []
-        for i in range(dim):
-            x = F.get("_v", F.lit(i)).cast("double")
-            sums.append(
-                F.struct(
-                    F.lit(i).alias("pos"),
-                    F.sum(x * F.col("_w")).alias("total"),
-                    F.sum(F.when(x.isNotNull(), F.col("_w"))).alias("weight"),
-                ).alias(f"_s{i}")
-            )
-        packed = rows.groupBy(*keys).agg(*sums)
-        return packed.select(*keys, F.inline(F.array(*[F.col(f"_s{i}") for i in range(dim)]))).filter(
-            "weight is not null"
-        )
     elements = df.select(*keys, weight.cast("double").alias("_w"), F.posexplode(vec).alias("pos", "_x"))
     x = F.col("_x").cast("double")
     return elements.filter("_x is not null").groupBy(*keys, "pos").agg(
@@ -75,11 +55,9 @@ def vector_totals(
     )
 
 
-def weighted_vector_mean(
-    df: DataFrame, group: Sequence[str], vec: str, weight: str, dim: int | None = None
-) -> DataFrame:
+def weighted_vector_mean(df: DataFrame, group: Sequence[str], vec: str, weight: str) -> DataFrame:
     """Element-wise mean of model vectors weighted by example counts, one array per group."""
-    totals = vector_totals(df, group, quoted(vec), quoted(weight), dim)
+    totals = vector_totals(df, group, quoted(vec), quoted(weight))
     means = totals.withColumn("_mean", F.try_divide(F.col("total"), F.col("weight")))
     return pack_vectors(means, group, "_mean", vec)
 

@@ -128,7 +128,6 @@ def dp_vector_mean(
     clip: float,
     sigma: float,
     seed: int = 42,
-    dim: int | None = None,
 ) -> DataFrame:
     """Mean of per-row clipped vectors with Gaussian noise of scale ``sigma * clip`` on the sum.
 
@@ -136,7 +135,7 @@ def dp_vector_mean(
     that is run again draws the same noise.
     """
     clipped = df.withColumn("_clipped", clip_l2(quoted(vec), clip))
-    totals = vector_totals(clipped, group, F.col("_clipped"), F.lit(1.0), dim)
+    totals = vector_totals(clipped, group, F.col("_clipped"), F.lit(1.0))
     noisy = F.col("total") + F.lit(float(sigma * clip)) * hash_gaussian(seed, *[quoted(g) for g in group], F.col("pos"))
     means = totals.withColumn("_mean", F.try_divide(noisy, F.col("weight")))
     return pack_vectors(means, group, "_mean", vec)

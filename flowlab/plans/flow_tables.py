@@ -24,6 +24,7 @@ from ..operators.encode import (
     fit_ordinal_encoder,
     fit_scaler,
     number_labels,
+    restrict_dictionary,
 )
 from ..operators.ordering import class_sizes
 from ..operators.sample import stratified_sample
@@ -95,7 +96,8 @@ def prepare_flows(
     keys = [f"_key_{i}" for i in range(len(key))]
     sample = stratified_sample(keyed, "label_str", target, minimum, keys, seed, sizes)
     if coded:
-        dictionary = fit_ordinal_encoder(typed, coded)
+        sample = materialize(sample, "sample")
+        dictionary = restrict_dictionary(fit_ordinal_encoder(typed, coded), sample, coded)
         sample = apply_ordinal_encoder(sample, dictionary, coded)
     table = encode_labels(sample, labels, "label_str")
     return FeatureTable(

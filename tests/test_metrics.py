@@ -14,11 +14,10 @@ def vectors(spark):
     )
 
 
-@pytest.mark.parametrize("dim", [None, 3])
-def test_weighted_vector_mean(spark, dim):
-    got = {r["g"]: r["w"] for r in metrics.weighted_vector_mean(vectors(spark), ["g"], "w", "n", dim).collect()}
+def test_weighted_vector_mean(spark):
+    got = {r["g"]: r["w"] for r in metrics.weighted_vector_mean(vectors(spark), ["g"], "w", "n").collect()}
     assert got["a"] == pytest.approx([2.5, 5.0, 7.5]) and got["b"] == [5.0, 5.0, 5.0]
-    equal = metrics.weighted_vector_mean(vectors(spark).withColumn("n", F.lit(1)), ["g"], "w", "n", dim)
+    equal = metrics.weighted_vector_mean(vectors(spark).withColumn("n", F.lit(1)), ["g"], "w", "n")
     assert equal.filter("g = 'a'").first()["w"] == pytest.approx([2.0, 4.0, 6.0])
 
 

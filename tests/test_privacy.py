@@ -45,7 +45,7 @@ def test_noisy_mean(spark):
     rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.array(F.lit(3.0), F.lit(4.0)).alias("v"))
     plain = privacy.dp_vector_mean(rows, ["g"], "v", clip=1.0, sigma=0.0).collect()
     assert all(r["v"] == pytest.approx([0.6, 0.8]) for r in plain)
-    noisy = [privacy.dp_vector_mean(rows.repartition(p), ["g"], "v", clip=1.0, sigma=5.0, dim=2).orderBy("g").collect() for p in (1, 8)]
+    noisy = [privacy.dp_vector_mean(rows.repartition(p), ["g"], "v", clip=1.0, sigma=5.0).orderBy("g").collect() for p in (1, 8)]
     for a, b in zip(*noisy):
         assert a["v"] == pytest.approx(b["v"]) and a["v"] != pytest.approx([0.6, 0.8], abs=1e-6)
 
