@@ -21,7 +21,7 @@ from ..scratch import materialize, scratch_path
 from ..sources.telemetry import append_telemetry, round_metrics, to_telemetry
 from .encode import apply_scaler, fit_scaler
 from .metrics import AGGREGATE, weighted_metrics, weighted_vector_mean
-from .ordering import lookup
+from .ordering import class_sizes, lookup
 from .privacy import open_sealed, privacy_ledger, round_keys, seal
 from .sample import stratified_split
 
@@ -37,11 +37,19 @@ def initial_weights(features: int, classes: int) -> list[float]:
 
 
 def prepare_shards(
-    df: DataFrame, features: Sequence[str], label: str, key: str, shard_rows: int = SHARD_ROWS
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    key: str,
+    shard_rows: int = SHARD_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``(client_id, shard, order, label, x)`` with at most about ``shard_rows`` rows per shard."""
-    sizes = df.groupBy("client_id").agg(F.count("*").alias("_rows"))
-    sized = lookup(df, materialize(sizes, "sizes"), ["client_id"], ["_rows"])
+    """``(client_id, shard, order, label, x)`` with at most about ``shard_rows`` rows per shard.
+
+    ``sizes`` are known client sizes ``(client_id, _rows)``.
+    """
+    sizes = class_sizes(df, ["client_id"]) if sizes is None else sizes
+    sized = lookup(df, sizes, ["client_id"], ["_rows"])
     shards = F.ceil(F.col("_rows") / shard_rows)
     return sized.select(
         F.col("client_id").cast("int").alias("client_id"),
@@ -232,15 +240,19 @@ def federated_fit(
     fixes, returns to the driver.  Gives the final weights and a telemetry table.
     """
     spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = stratified_split(df, label, test, [key]) if test > 0 else df
+    train = marked.filter("not is_test") if test > 0 else marked
+    sizes = class_sizes(train, ["client_id"])
+    count = sizes.agg(F.sum(F.ceil(F.col("_rows") / shard_rows))).first()[0] or 1
+    width = min(int(count), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = (
-        prepare_shards(marked.filter("not is_test") if test > 0 else marked, features, label, key, shard_rows)
+        prepare_shards(train, features, label, key, shard_rows, sizes)
         .repartition(width, "client_id", "shard")
         .sortWithinPartitions("client_id", "shard")
         .persist()
     )
-    sizes = materialize(shards.groupBy("client_id").agg(F.count("*").alias("n")), "sizes")
+    # filled here, so that every round sees the partitioning
+    shards.count()
     judged = shards
     if test > 0:
         judged = marked.filter("is_test").select(
@@ -251,7 +263,7 @@ def federated_fit(
     budget = None
     if noise:
         plan = sizes.select(
-            "client_id", "n", F.lit(noise.sigma).alias("sigma"), F.lit(noise.delta).alias("delta"),
+            "client_id", F.col("_rows").alias("n"), F.lit(noise.sigma).alias("sigma"), F.lit(noise.delta).alias("delta"),
             F.lit(True).alias("dp_enabled"),
         )
         budget = materialize(privacy_ledger(plan, rounds, epochs, batch, fractional=noise.sigma < 1), "budget")

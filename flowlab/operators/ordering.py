@@ -38,19 +38,15 @@ def running_total(
     """Add inclusive running sums per group, in the given order, over many tasks.
 
     ``totals`` maps a new column to the value summed.  ``group + order`` should be
-    unique.  Rows are range-partitioned into blocks, written once so that block
-    numbers stay fixed, summed inside each block and shifted by the total of the
-    blocks before.  A group that holds most rows is spread over many blocks.
+    unique.  Rows are range-partitioned into blocks (their number follows the size of
+    the data unless given), written once so that block numbers stay fixed, summed
+    inside each block and shifted by the total of the blocks before.  A group that holds most rows is spread over many blocks.
     """
-    spark = df.sparkSession
-    count = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, *order]
+    keys = [quoted(k) for k in [*group, *order]]
     values = {name: f"_value_{i}" for i, name in enumerate(totals)}
     staged = df.select("*", *[expr.alias(values[name]) for name, expr in totals.items()])
-    ranged = materialize(
-        staged.repartitionByRange(count, *[quoted(k) for k in keys]).withColumn("_block", F.spark_partition_id()),
-        "blocks",
-    )
+    ranged = staged.repartitionByRange(blocks, *keys) if blocks else staged.repartitionByRange(*keys)
+    ranged = materialize(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
     per_block = ranged.groupBy(*[quoted(g) for g in group], "_block").agg(
         *[F.sum(v).alias(f"{v}_sum") for v in values.values()]
     )

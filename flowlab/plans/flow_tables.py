@@ -13,6 +13,7 @@ from ..operators.clean import (
     FLOW_NUMBERS,
     IDENTIFIERS,
     JOIN_SUFFIXES,
+    assert_varying,
     constant_columns,
     find_label_column,
     text_cols,
@@ -40,6 +41,10 @@ class FeatureTable:
     features: list[str]
     constant: list[str]
 
+    def verify(self) -> None:
+        """Raise when sampling left a feature with a single value."""
+        assert_varying(self.table, self.features)
+
 
 def prepare_flows(
     flows: DataFrame,
@@ -120,20 +125,22 @@ def prepare_csv_flows(
     target: int = 10_000,
     minimum: int = 500,
     seed: int = 42,
+    exclude: Sequence[str] = (),
     keep: Sequence[str] = (),
 ) -> FeatureTable:
     """CSV flows to a balanced, standardised table of float32 features and a class code.
 
     Rows with unmapped labels are left out.  Coding, pruning and scaling look at the
     sample, which is written once; its size is bounded by classes times target.
-    ``key`` are the columns, or expressions, that identify a row.
+    ``key`` are the columns, or expressions, that identify a row; a key column is a
+    feature like any other unless it is in ``exclude`` or passed through by ``keep``.
     """
     mapped = flows.withColumn("label_str", coarse_label(quoted(label), classes)).filter("label_str <> ''")
     # the sample holds every class, so class sizes name them all
     sizes = class_sizes(mapped, ["label_str"])
     labels = number_labels(sizes)
     sample = stratified_sample(mapped, "label_str", target, minimum, key, seed, sizes)
-    features = [c for c in sample.columns if c not in {label, "label_str", *keep}]
+    features = [c for c in sample.columns if c not in {label, "label_str", *exclude, *keep}]
     texts = [c for c in text_cols(sample) if c in features]
     coded = apply_ordinal_encoder(sample, fit_ordinal_encoder(sample, texts), texts) if texts else sample
     clean = materialize(

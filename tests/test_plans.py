@@ -53,7 +53,8 @@ def test_prepare_csv_flows(spark):
         F.when(n % 10 == 0, float("inf")).otherwise(n.cast("double")).alias("wild"),
         F.when(n % 3 == 0, " xss").when(n % 3 == 1, "Benign").otherwise("other").alias("Label"),
     )
-    made = prepare_csv_flows(rows, ["row"], target=200, minimum=5, keep=["row"])
+    made = prepare_csv_flows(rows, ["row"], target=200, minimum=5, exclude=["row"])
+    made.verify()
     assert made.features == ["Rate", "Protocol Type", "wild"] and made.constant == ["flat"]
     assert {r["label_str"]: r["label"] for r in made.labels.collect()} == {"Benign": 0, "WebAttack": 1}
     stats = made.table.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{c}{i}") for c in made.features for i, f in enumerate((F.avg, F.stddev_pop))]).first()
