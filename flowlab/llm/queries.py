@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowlab.llm.decontaminate import scan_benchmark
+from flowlab.llm.language import fit, identify
 from flowlab.llm.packing import pack_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +28,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return pack_sequences(table(spark, folder, "documents"))
+
+
+def fold(key: str, parts: int) -> Column:
+    """Remainder of the crc32 of an id as text; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+@register
+def op7_identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from two of three folds."""
+    docs = table(spark, folder, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
+    model = fit(docs.where(fold("doc_id", 3) != 1))
+    return identify(docs, model, carry=["doc_id", "held_out"]).select(
+        "doc.doc_id", "doc.held_out", "lang_pred", "score", "accepted")
+
+
+@register
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents against all 13-word windows of the benchmark."""
+    found = scan_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op8_decontaminate"] = f"""
+with b as (select item_id, {_WORDS} as ws from benchmark where item_id is not null),
+bw as (
+  select distinct cast(item_id as varchar) as item, least(13, len(ws)) as n,
+    array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') as g
+  from (select item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as i from b where len(ws) > 0)),
+d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
+dw as (
+  select r, i, n, array_to_string(ws[i:i + n - 1], ' ') as g
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i
+        from d cross join (select distinct n from bw) where len(ws) >= n)),
+hit as (select dw.r, dw.i, dw.n, bw.item from dw join bw on dw.n = bw.n and dw.g = bw.g),
+places as (select r, count(distinct p) as n_hit
+           from (select r, unnest(range(i, i + n)) as p from (select distinct r, i, n from hit)) group by r),
+found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct r, item from hit) group by r)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join places on d.r = places.r left join found on d.r = found.r
+"""

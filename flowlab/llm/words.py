@@ -114,6 +114,14 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def run_rows(hashes: np.ndarray) -> np.ndarray:
+    """The hash ``runs`` gives, for runs that are rows of a matrix."""
+    out = np.zeros(len(hashes), dtype=np.uint64)
+    for k, weight in enumerate(_weights(hashes.shape[1])):
+        out += hashes[:, k] * weight
+    return mix(out)
+
+
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one text; a shorter text is one shingle."""
     if not len(hashes):
