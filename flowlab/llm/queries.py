@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
+from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,13 @@ def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_sequences(table(spark, folder, "documents"))
 
 
+@register
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of all documents at a Jaccard similarity of 0.85 on 5-word shingles."""
+    return near_duplicates(table(spark, folder, "documents"), 85, 100).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def fold(key: str, parts: int) -> Column:
     """Remainder of the crc32 of an id as text; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
