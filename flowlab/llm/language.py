@@ -88,7 +88,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = counts_of(text)
         if not counts.any() or not self.languages:
-            return UNKNOWN, 0.0, False
+            return UNKNOWN, 0.0, bool(counts.any())
         cosines = self.centroids @ vector(counts, self.idf)
         best = int(np.argmax(cosines))  # ties: the first language by name
         near = float(min(1.0, max(0.0, cosines[best])))
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     Returns a row per document: ``doc`` (a struct of the columns named in
     ``carry``, all by default), ``lang_pred`` (``und`` without letters, and for a
     model without languages), ``score`` (cosine to the nearest centroid) and
-    ``accepted``.  A null or empty text has no letters; of equally near languages
+    ``accepted`` (a model without languages accepts all that has letters).  A null or empty text has no letters; of equally near languages
     the first by name is taken; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of languages

@@ -11,6 +11,9 @@ from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
 from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
+from flowlab.llm.url_filter import judge_urls
+from flowlab.llm.warc import assemble, read_warc, with_origin, write_warc
+from flowlab.scratch import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +41,26 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@register
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as archives, read back and assembled to captures."""
+    path = scratch_path(spark, "archives")
+    write_warc(table(spark, folder, "pages"), path)
+    records = materialize(read_warc(spark, path, keep_payload=False), "records")
+    return with_origin(assemble(records)).select(
+        "page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, '')) as n from pages),
+f as (select payload_digest, min(page_id) as first from p where n >= 100 group by payload_digest)
+select page_id, cast(n as bigint) as payload_bytes, p.payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f on p.payload_digest = f.payload_digest
+"""
+
+
 def fold(key: str, parts: int) -> Column:
     """Remainder of the crc32 of an id as text; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
@@ -86,3 +109,74 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join places on d.r = places.r left join found on d.r = found.r
 """
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@register
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for all page urls under five rules and the links between pages."""
+    return judge_urls(table(spark, folder, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "component")
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PART = r"coalesce(regexp_extract({}, '(?s)^(.*?)://([^/?#]*)([^?#]*)(\??[^#]*)', {}), '')"
+
+
+def _address(url: str) -> str:
+    scheme, host = (_LOWER.format(_PART.format(url, k)) for k in (1, 2))
+    path = _PART.format(url, 3)
+    return f"""case when {host} <> '' then concat({scheme}, '://', {host},
+      case when {path} = '' then '/' else {path} end, {_PART.format(url, 4)}) end"""
+
+
+def _best(source: str, url: str, keys: str) -> str:
+    return f"""select {keys}, arg_max(concat(h, p), length(concat(h, p))) as rule, arg_max(v, length(concat(h, p))) as verdict
+      from {source} join rules on ({_LOWER.format(_PART.format(url, 2))} = h
+        or ends_with({_LOWER.format(_PART.format(url, 2))}, concat('.', h)))
+        and starts_with({_PART.format(url, 3)}, p) group by {keys}"""
+
+
+ORACLES["op10_url_filter"] = rf"""
+with recursive rules as (select * from (values {_RULES}) as r(v, h, p)),
+tags as (
+  select url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+      lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+      lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''>;\s]+)', 1)))) as raw
+  from pages),
+links as (select url, replace(raw, '&amp;', '&') as link from tags where raw <> ''),
+resolved as (
+  select url, case
+    when contains(link, '://') then link
+    when starts_with(link, '//') then concat({_PART.format('url', 1)}, ':', link)
+    when starts_with(link, '/') then concat({_PART.format('url', 1)}, '://', {_PART.format('url', 2)}, link)
+    when not starts_with(link, '#') then concat({_PART.format('url', 1)}, '://', {_PART.format('url', 2)},
+      case when contains({_PART.format('url', 3)}, '/') then regexp_extract({_PART.format('url', 3)}, '(?s)^.*/') else '/' end, link)
+    end as target from links),
+edges as (select {_address('url')} as a, {_address('target')} as b from resolved),
+ends as (select a, b from edges where a is not null and b is not null and a <> b
+         union select b, a from edges where a is not null and b is not null and a <> b),
+reach as (select a as node, a as other from ends union select reach.node, ends.b from reach join ends on reach.other = ends.a),
+nodes as (select node, min(other) as component from reach group by node),
+judged as ({_best('nodes', 'node', 'node, component')}),
+spread as (
+  select component, case when bool_or(verdict = 'allow') then 'allow' when bool_or(verdict = 'block') then 'block' else 'allow' end as verdict
+  from judged group by component),
+own as (select row_number() over () as r, page_id, url, {_address('url')} as node from pages),
+ruled as ({_best('own', 'url', 'r')})
+select page_id, {_LOWER.format(_PART.format('url', 2))} as host, {_PART.format('url', 3)} as path, rule,
+  coalesce(ruled.verdict, spread.verdict, 'allow') as verdict, nodes.component
+from own left join ruled on own.r = ruled.r left join nodes on own.node = nodes.node
+  left join spread on nodes.component = spread.component
+"""
