@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlab.llm.ann import nearest_vectors
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
 from flowlab.llm.near_dedup import near_duplicates
@@ -180,3 +181,9 @@ select page_id, {_LOWER.format(_PART.format('url', 2))} as host, {_PART.format('
 from own left join ruled on own.r = ruled.r left join nodes on own.node = nodes.node
   left join spread on nodes.component = spread.component
 """
+
+
+@register
+def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth embedding."""
+    return nearest_vectors(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
