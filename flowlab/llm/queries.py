@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlab.llm.ann import nearest_vectors
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
+from flowlab.llm.lm_score import score_texts
 from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
 from flowlab.llm.url_filter import judge_urls
@@ -35,6 +36,17 @@ def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_sequences(table(spark, folder, "documents"))
 
 
+def fold(key: str, parts: int) -> Column:
+    """Remainder of the crc32 of an id as text; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+@register
+def op4_score_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a suffix tree learned from four of five folds."""
+    return score_texts(table(spark, folder, "documents"), fold("doc_id", 5) == 1)
+
+
 @register
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of all documents at a Jaccard similarity of 0.85 on 5-word shingles."""
@@ -62,11 +74,6 @@ from p left join f on p.payload_digest = f.payload_digest
 """
 
 
-def fold(key: str, parts: int) -> Column:
-    """Remainder of the crc32 of an id as text; null for a null id."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
-
-
 @register
 def op7_identify_language(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of all documents, learned from two of three folds."""
