@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from flowlab.llm.ann import nearest_vectors
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
+from flowlab.llm.licenses import FILE, HEADER, STOP, TEMPLATES, WORD, Weights, scan_licenses
 from flowlab.llm.lm_score import score_texts
 from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
+from flowlab.llm.token_counts import count_tokens
 from flowlab.llm.url_filter import judge_urls
 from flowlab.llm.warc import assemble, read_warc, with_origin, write_warc
 from flowlab.scratch import materialize, scratch_path
@@ -36,6 +38,72 @@ def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_sequences(table(spark, folder, "documents"))
 
 
+@register
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of all documents."""
+    return count_tokens(table(spark, folder, "documents"))
+
+
+_PATH = "concat(coalesce(source, '-'), '/', coalesce(lang, '-'), '/', coalesce(cast(doc_id as {}), '-'))"
+
+
+@register
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents, as files below a directory for each source and language."""
+    docs = table(spark, folder, "documents")
+    return scan_licenses(docs.withColumn("path", F.expr(_PATH.format("string"))))
+
+
+_WEIGHTS = Weights(TEMPLATES, min(HEADER, FILE))
+_IDF_ROWS = ", ".join(f"('{w}', {x!r}::double)" for w, x in _WEIGHTS.idf.items())
+_HEAVY_ROWS = ", ".join(f"('{w}', {k}, '{n}', {x!r}::double)" for w, k, n, x in _WEIGHTS.rows)
+_STOP_LIST = ", ".join(f"'{w}'" for w in sorted(STOP))
+
+
+def _best_license(name: str, units: str, keys: str, least: float) -> str:
+    return f"""
+{name}_terms as (
+  select {keys}, word, count(*) as times from (select {keys}, unnest(regexp_extract_all(lower(value), '{WORD}')) as word from {units})
+  where word not in ({_STOP_LIST}) group by {keys}, word),
+{name}_weighed as (select {keys}, t.word, times * coalesce(idf, {_WEIGHTS.other!r}::double) as x from {name}_terms t left join idf on t.word = idf.word),
+{name}_sizes as (select {keys}, sqrt(sum(x * x)) as size from {name}_weighed group by {keys}),
+{name}_dots as (
+  select {keys}, template, license, sum(x * weight) as dot from {name}_weighed w join heavy h on w.word = h.word
+  group by {keys}, template, license),
+{name}_all as (
+  select {keys}, license, round(dot / size, 6) as score from {name}_dots join {name}_sizes using ({keys})),
+{name} as (
+  select {keys}, license, score from (select *, row_number() over (partition by {keys} order by score desc, license) as k
+    from {name}_all where score >= {least}) where k = 1)"""
+
+
+ORACLES["op3_license_scan"] = f"""
+with idf as (select * from (values {_IDF_ROWS}) as v(word, idf)),
+heavy as (select * from (values {_HEAVY_ROWS}) as v(word, template, license, weight)),
+d as (select row_number() over () as r, {_PATH.format('varchar')} as path, text as value from documents),
+lines as (select r, generate_subscripts(split(value, chr(10)), 1) as line, unnest(split(value, chr(10))) as value from d),
+{_best_license('found', 'lines', 'r, line', HEADER)},
+{_best_license('whole', 'd', 'r', FILE)},
+header as (select r, license, score from (select *, row_number() over (partition by r order by score desc, license) as k from found) where k = 1),
+own as (
+  select d.r, path, regexp_replace(path, '/[^/]*$', '') as dir, coalesce(w.license, h.license) as license, coalesce(w.score, h.score) as score,
+    case when w.r is not null then 'file' when h.r is not null then 'header' end as origin
+  from d left join whole w on d.r = w.r left join header h on d.r = h.r),
+held as (
+  select dir, license from (select dir, license, row_number() over (partition by dir order by count(*) desc, license) as k
+    from own where origin = 'file' group by dir, license) where k = 1),
+near as (
+  select dirs.dir, held.dir as from_dir, held.license,
+    row_number() over (partition by dirs.dir order by length(held.dir) desc) as k
+  from (select distinct dir from own) dirs join held
+    on dirs.dir = held.dir or starts_with(dirs.dir, concat(held.dir, '/')) or held.dir = '')
+select path, coalesce(own.license, near.license) as license, score,
+  coalesce(origin, case when near.license is not null then 'inherited' else 'none' end) as origin,
+  case when origin is null then from_dir end as from_dir
+from own left join near on own.dir = near.dir and near.k = 1
+"""
+
+
 def fold(key: str, parts: int) -> Column:
     """Remainder of the crc32 of an id as text; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
