@@ -14,7 +14,7 @@ from flowlab.operators import clean, encode, joins, learn, metrics, privacy, sam
 from flowlab.plans.flow_tables import prepare_csv_flows, prepare_flows
 from flowlab.plans.merge import merge_scenarios
 from flowlab.plans.window_table import window_table
-from flowlab.scratch import scratch_path
+from flowlab.scratch import materialize, scratch_path
 from flowlab.sources import flows as flow_io
 from flowlab.sources import telemetry as tele
 from flowlab.sources import zeek
@@ -508,8 +508,8 @@ from documents group by 1
 """)
 def q_payload_stats(spark, folder):
     payloads = _payloads(spark, folder)
-    keys = privacy.round_keys(payloads, _secret(spark, folder))
-    sealed = privacy.seal(payloads.withColumn("plain", F.col("text")), "text", keys)
+    key = privacy.round_key(_secret(spark, folder), F.col("server_round"))
+    sealed = privacy.seal(payloads.withColumn("plain", F.col("text")), "text", key)
     return metrics.payload_stats(sealed, ["server_round"])
 
 
@@ -796,14 +796,20 @@ select cast(user_id % 5 as int) as client_id, count(*) as n, cast(1.1 as double)
 
 @query(f"""
 with c as (select *, cast(32 as double) / n as q from ({CLIENTS})),
-a as (select distinct q, sigma, unnest(range(2, 65)) as alpha from c where dp_enabled),
-t as (select q, sigma, alpha, unnest(range(0, alpha + 1)) as k from a),
-l as (select q, sigma, alpha, lgamma(alpha + 1) - lgamma(k + 1) - lgamma(alpha - k + 1)
+o as (select unnest(list_concat(range(11, 64), [128, 256, 512, 1024])) as alpha),
+t as (select distinct q, sigma, alpha, unnest(range(0, alpha + 1)) as k from c cross join o where dp_enabled),
+whole as (select q, sigma, cast(alpha as double) as alpha, lgamma(alpha + 1) - lgamma(k + 1) - lgamma(alpha - k + 1)
   + (alpha - k) * ln(1 - q) + k * ln(q) + (k * k - k) / (2 * sigma * sigma) as v from t),
-m as (select *, max(v) over (partition by q, sigma, alpha) as p from l),
-r as (select q, sigma, alpha, (max(p) + ln(sum(exp(v - p)))) / (alpha - 1) as rdp from m group by 1, 2, 3),
+g as (select distinct q, sigma, tenth / 10.0::double as alpha, (tenth / 10.0::double + 30 * sigma) / 500 as step,
+  unnest(range(0, 501)) as i from c cross join (select unnest(range(11, 110)) as tenth) where dp_enabled),
+p as (select *, i * step - 15 * sigma as x, (2 * (i * step - 15 * sigma) - 1) / (2 * sigma * sigma) as shift from g),
+tenth as (select q, sigma, alpha, -(x * x) / (2 * sigma * sigma) - ln(sigma * sqrt(2 * pi())) + ln(step)
+  + alpha * case when shift > 0 then shift + ln(q + (1 - q) * exp(-shift)) else ln((1 - q) + q * exp(shift)) end as v from p),
+l as (select * from whole union all select * from tenth),
+m as (select *, max(v) over (partition by q, sigma, alpha) as top from l),
+r as (select q, sigma, alpha, (max(top) + ln(sum(exp(v - top)))) / (alpha - 1) as rdp from m group by 1, 2, 3),
 s as (select *, cast(sr * (n // 32) as bigint) as steps from (select *, unnest(range(1, 41)) as sr from c))
-select client_id, cast(sr as int) as server_round, steps, round(min(steps * rdp + ln(1 - 1 / alpha::double)
+select client_id, cast(sr as int) as server_round, steps, round(min(steps * rdp + ln(1 - 1 / alpha)
   - (ln(delta) + ln(alpha)) / (alpha - 1)), 5) as epsilon
 from s join r on s.q = r.q and s.sigma = r.sigma where dp_enabled group by 1, 2, 3
 union all select client_id, cast(sr as int), steps, cast(-1 as double) from s where not dp_enabled
@@ -822,15 +828,15 @@ from c join n on c.client_id = n.client_id group by 1, 2
 """)
 def q_clipped_vector_sum(spark, folder):
     updates = A.view(spark, folder, A.UPDATES, "embeddings")
-    mean = privacy.dp_vector_mean(updates, ["server_round"], "weights", clip=1.0, sigma=0.0)
+    mean = privacy.dp_vector_mean(updates, ["server_round"], "weights", clip=1.0, sigma=0.0, seed=1)
     return _elements(mean, ["server_round"], "weights")
 
 
 @query("select doc_id, text, cast(strlen(text) as bigint) as plain_bytes from documents")
 def q_seal_open(spark, folder):
     payloads = _payloads(spark, folder)
-    keys = privacy.round_keys(payloads, _secret(spark, folder))
-    opened = privacy.open_sealed(privacy.seal(payloads, "text", keys), "sealed", keys)
+    key = privacy.round_key(_secret(spark, folder), F.col("server_round"))
+    opened = privacy.open_sealed(privacy.seal(payloads, "text", key), "sealed", key)
     return opened.select("doc_id", F.col("plain").cast("string").alias("text"), "plain_bytes")
 
 
@@ -838,8 +844,9 @@ def q_seal_open(spark, folder):
 def q_seal_per_round(spark, folder):
     payloads = _payloads(spark, folder)
     secret = _secret(spark, folder)
-    sealed = privacy.seal(payloads, "text", privacy.round_keys(payloads, secret))
-    opened = privacy.open_sealed(sealed, "sealed", privacy.round_keys(payloads, secret, keep_from=21))
+    number = F.col("server_round")
+    sealed = privacy.seal(payloads, "text", privacy.round_key(secret, number))
+    opened = privacy.open_sealed(sealed, "sealed", privacy.round_key(secret, number, keep_from=21))
     return opened.select("doc_id", "server_round", F.col("plain").cast("string").alias("text"))
 
 
@@ -871,20 +878,80 @@ def q_local_update(spark, folder):
     # one full-batch step, which SQL can follow
     shards = learn.prepare_shards(_client_rows(spark, folder), FEATURES, "label", "vec_id")
     start = learn.initial_weights(DIM, CLASSES)
-    updates = learn.local_update(shards, start, CLASSES, epochs=1, rate=0.5, batch=learn.SHARD_ROWS * 2)
+    updates = learn.local_update(shards, start, CLASSES, epochs=1, rate=0.5, batch=None)
     return _elements(updates, ["client_id", "num_examples"], "weights")
 
 
-@query()
+def rounds_sql(condition: str, rounds: int, epochs: int, rate: float, mu: float = 0.0, clip: float = 0.0, test: float = 0.0) -> str:
+    """Full-batch federated rounds written out: every epoch is one gradient step per client."""
+    vec_hash = md5_sql("cast(vec_id as varchar)")
+    steps = [f"""v as (
+  select vec_id, label, cast(vec_id % 4 as int) as client_id, list_append(embedding::double[], 1.0::double) as e,
+    row_number() over (partition by label order by {vec_hash}) <= ceil(round(count(*) over (partition by label) * {test}, 6)) as is_test
+  from embeddings),
+x as materialized (
+  select vec_id, label, client_id, is_test, generate_subscripts(e, 1) - 1 as j, unnest(e) as x from v),
+norms as (select vec_id, sqrt(sum(x * x)) as long from x group by 1),
+n as (select client_id, count(*) as n from v where not is_test group by 1),
+g0 as (select c, j, 0.0::double as w from (select unnest(range(0, {CLASSES})) as c), (select unnest(range(0, {DIM + 1})) as j))"""]
+    logs = []
+    for r in range(1, rounds + 1):
+        steps.append(f"l{r}_0 as (select client_id, c, j, w from n cross join g{r - 1})")
+        for e in range(1, epochs + 1):
+            name, before = f"l{r}_{e}", f"l{r}_{e - 1}"
+            error = "err / greatest(1, sqrt(sum(err * err) over (partition by p.vec_id)) * long / " + f"{clip})" if clip else "err"
+            steps.append(f"""z{name} as (
+  select vec_id, x.client_id, label, c, sum(x * w) as s from x join {before} l on x.client_id = l.client_id and x.j = l.j
+  where not is_test group by 1, 2, 3, 4),
+u{name} as (select *, exp(s - max(s) over (partition by vec_id)) as u from z{name}),
+p{name} as (select vec_id, client_id, c, u / sum(u) over (partition by vec_id) - case when c = label then 1 else 0 end as err from u{name}),
+e{name} as (select p.vec_id, client_id, c, {error} as err from p{name} p join norms on p.vec_id = norms.vec_id),
+d{name} as (select e.client_id, c, j, sum(err * x) as d from e{name} e join x on e.vec_id = x.vec_id group by 1, 2, 3),
+{name} as materialized (
+  select l.client_id, l.c, l.j, l.w - {rate}::double * (d / n + {mu}::double * (l.w - g.w)) as w
+  from {before} l join d{name} d on l.client_id = d.client_id and l.c = d.c and l.j = d.j
+  join n on l.client_id = n.client_id join g{r - 1} g on l.c = g.c and l.j = g.j)""")
+        steps.append(f"""g{r} as materialized (
+  select c, j, sum(w * n) / sum(n) as w from l{r}_{epochs} l join n on l.client_id = n.client_id group by 1, 2),
+s{r} as (select vec_id, client_id, label, c, sum(x * w) as s from x join g{r} g on x.j = g.j
+  where {"is_test" if test else "true"} group by 1, 2, 3, 4),
+t{r} as (select *, max(s) over (partition by vec_id) as top from s{r}),
+o{r} as (select vec_id, client_id, max(top) + ln(sum(exp(s - top))) - max(case when c = label then s end) as loss,
+  case when arg_max(c, s) = max(label) then 1.0::double else 0 end as hit from t{r} group by 1, 2),
+c{r} as (select client_id, avg(loss) as loss, avg(hit) as accuracy from o{r} group by 1),
+a{r} as (select avg(loss) as loss, avg(hit) as accuracy from o{r})""")
+        nothing = ", ".join(["cast(null as double)"] * 2)
+        logs.append(f"""select {r} as server_round, cast(client_id as varchar) as client_id, {nothing}, cast(null as varchar), {nothing} from n
+union all select {r}, 'aggregate', loss, accuracy, 'aggregate', loss, accuracy from a{r}
+union all select {r}, cast(client_id as varchar), a.loss, a.accuracy, cast(client_id as varchar), c.loss, c.accuracy from c{r} c, a{r} a""")
+    names = "server_round, client_id, global_loss, global_accuracy, eval_client_id, eval_loss, eval_accuracy"
+    return f"""with {", ".join(steps)},
+log({names}) as ({" union all ".join(logs)})
+select '{condition}' as condition, 1 as run, server_round, client_id, round(global_loss, 5) as global_loss,
+  round(global_accuracy, 5) as global_accuracy, eval_client_id, round(eval_loss, 5) as eval_loss, round(eval_accuracy, 5) as eval_accuracy
+from log"""
+
+
+ROUND_COLUMNS = ["condition", "run", "server_round", "client_id", "global_loss", "global_accuracy", "eval_client_id",
+                 "eval_loss", "eval_accuracy"]
+
+
+def _rounds(spark, folder, **how) -> DataFrame:
+    _, log = learn.federated_fit(_client_rows(spark, folder), FEATURES, "label", CLASSES, "vec_id", batch=None, **how)
+    return rounded(log.select(*ROUND_COLUMNS), 5, "global_loss", "global_accuracy", "eval_loss", "eval_accuracy")
+
+
+# rounds with one step per epoch over all rows of a client, which SQL can follow
+
+
+@query(rounds_sql("A_baseline", 3, 1, 0.5))
 def q_federated_rounds(spark, folder):
-    _, rounds = learn.federated_fit(_client_rows(spark, folder), FEATURES, "label", CLASSES, "vec_id", rounds=3)
-    return rounds.drop("train_time_ms")
+    return _rounds(spark, folder, rounds=3, epochs=1, rate=0.5)
 
 
-@query()
+@query(rounds_sql("A_baseline", 2, 2, 0.5, mu=0.1))
 def q_fedprox(spark, folder):
-    _, rounds = learn.federated_fit(_client_rows(spark, folder), FEATURES, "label", CLASSES, "vec_id", rounds=2, mu=0.1)
-    return rounds.drop("train_time_ms")
+    return _rounds(spark, folder, rounds=2, epochs=2, rate=0.5, mu=0.1)
 
 
 def _fixed_weight(c: int, i: int) -> float:
@@ -909,25 +976,29 @@ def q_evaluate_clients(spark, folder):
     return rounded(rounded(scores, 5, "loss"), 6, "accuracy")
 
 
-@query()
+@query(rounds_sql("C_pqc_dp", 2, 1, 0.5, clip=0.7, test=0.2))
 def q_private_rounds(spark, folder):
-    # sealed updates and private steps
-    _, rounds = learn.federated_fit(
-        _client_rows(spark, folder), FEATURES, "label", CLASSES, "vec_id", rounds=2, noise=learn.Noise(),
-        secret=_secret(spark, folder), test=0.2, condition="C_pqc_dp",
-    )
-    return rounds.drop("train_time_ms", "pqc_total_overhead_ms", "pqc_encap_ms", "sym_enc_ms")
+    # clipped steps on a split; noise would leave nothing to compare
+    noise = learn.Noise(learn.secret_seed(_secret(spark, folder)), sigma=0.0, clip=0.7)
+    return _rounds(spark, folder, rounds=2, epochs=1, rate=0.5, noise=noise, test=0.2, condition="C_pqc_dp")
 
 
-@query()
+@query(f"""
+with r as (select {"concat_ws('|', " + ", ".join(LINE_KEY) + ")"} as row_key, case when l_quantity > 25 then 1 else 0 end as label from lineitem),
+k as (select *, row_number() over (partition by label order by md5(concat_ws(':', '42', row_key))) as rn,
+  count(*) over (partition by label) as n from r)
+select row_key, label, true as accurate from k where rn <= ceil(round(n * 0.2, 6))
+""")
 def q_baseline_scores(spark, folder):
+    # the label follows from a feature, so nearly all test rows must be told right
     days = (F.unix_timestamp("l_shipdate") / 86400.0).alias("days")
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(
         F.concat_ws("|", *line_key()).alias("row_key"), *SCALED, days,
-        (F.col("l_linestatus") == "F").cast("int").alias("label"),
+        (F.col("l_quantity") > 25).cast("int").alias("label"),
     )
-    scores = learn.fit_baseline(rows, [*SCALED, "days"], "label", "row_key")
-    return rounded(scores, 4, "score")
+    scores = materialize(learn.fit_baseline(rows, [*SCALED, "days"], "label", "row_key"), "baseline")
+    right = scores.select(F.avg(((F.col("score") > 0.5) == (F.col("label") == 1)).cast("double")).alias("share"))
+    return scores.select("row_key", "label", (right.scalar() > 0.95).alias("accurate"))
 
 
 # --- streams ---------------------------------------------------------------------

@@ -1,18 +1,19 @@
 """Federated training of a softmax classifier on client shards.
 
-Rows of a client are dealt into shards of bounded size.  A shard trains in one
-Arrow batch group; shard weights are averaged by rows to client weights, and
-client weights to the global model.  A client that fits one shard trains exactly
-as if alone; a client that owns a third of the data trains on many executors.
+How many shards a client's rows are dealt into is part of the training definition
+and never follows from the size of the data.  With one shard, the default, a client
+trains exactly as if alone.  With more, each shard trains by itself, in as many
+tasks, and weights are averaged by rows.  A task holds the rows of one shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order, quoted
@@ -21,13 +22,10 @@ from ..scratch import materialize, scratch_path
 from ..sources.telemetry import append_telemetry, round_metrics, to_telemetry
 from .encode import apply_scaler, fit_scaler
 from .metrics import AGGREGATE, weighted_metrics, weighted_vector_mean
-from .ordering import class_sizes, lookup
-from .privacy import open_sealed, privacy_ledger, round_keys, seal
+from .ordering import lookup
+from .privacy import privacy_ledger
 from .sample import stratified_split
 
-SHARD_ROWS = 50_000
-PLAIN_TERMS = 256
-
 UPDATE = "client_id int, shard int, num_examples bigint, weights array<double>, loss double, train_ns bigint"
 
 
@@ -36,24 +34,11 @@ def initial_weights(features: int, classes: int) -> list[float]:
     return [0.0] * (classes * (features + 1))
 
 
-def prepare_shards(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    key: str,
-    shard_rows: int = SHARD_ROWS,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """``(client_id, shard, order, label, x)`` with at most about ``shard_rows`` rows per shard.
-
-    ``sizes`` are known client sizes ``(client_id, _rows)``.
-    """
-    sizes = class_sizes(df, ["client_id"]) if sizes is None else sizes
-    sized = lookup(df, sizes, ["client_id"], ["_rows"])
-    shards = F.ceil(F.col("_rows") / shard_rows)
-    return sized.select(
+def prepare_shards(df: DataFrame, features: Sequence[str], label: str, key: str, shards: int = 1) -> DataFrame:
+    """``(client_id, shard, order, label, x)``; every client is dealt into ``shards`` by key hash."""
+    return df.select(
         F.col("client_id").cast("int").alias("client_id"),
-        F.pmod(F.xxhash64(quoted(key)), shards).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(quoted(key)), F.lit(shards)).cast("int").alias("shard"),
         hash_order("order", quoted(key)).alias("order"),
         quoted(label).cast("int").alias("label"),
         assemble(list(features)).alias("x"),
@@ -62,16 +47,19 @@ def prepare_shards(
 
 @dataclass(frozen=True)
 class Noise:
-    """Gaussian noise on clipped example gradients, and the delta of its budget."""
+    """Gaussian noise on clipped example gradients, and the delta of its budget.
+
+    Whoever knows the seed can subtract the noise: draw it with ``secret_seed``.
+    """
 
+    seed: int
     sigma: float = 1.1
     clip: float = 1.0
     delta: float = 1e-5
-    seed: int = 42
 
 
 def _shard_trainer(
-    weights: Sequence[float], classes: int, epochs: int, rate: float, batch: int, mu: float,
+    weights: Sequence[float], classes: int, epochs: int, rate: float, batch: int | None, mu: float,
     noise: Noise | None = None, number: int = 0,
 ) -> Callable[[pd.DataFrame], pd.DataFrame]:
     start = list(weights)
@@ -91,7 +79,7 @@ def _shard_trainer(
         y = np.eye(classes)[rows["label"].to_numpy()]
         anchor = np.asarray(start).reshape(classes, -1)
         w = anchor.copy()
-        size = min(batch, len(x))
+        size = batch or len(x)
         losses = []
         for _ in range(epochs):
             for at in range(0, len(x) - size + 1, size):
@@ -116,7 +104,7 @@ def _shard_trainer(
                 "shard": [shard],
                 "num_examples": [len(x)],
                 "weights": [w.ravel().tolist()],
-                "loss": [float(np.mean(losses))],
+                "loss": [float(np.mean(losses)) if losses else None],
                 "train_ns": [clock.perf_counter_ns() - began],
             }
         )
@@ -130,7 +118,7 @@ def local_update(
     classes: int,
     epochs: int = 2,
     rate: float = 0.1,
-    batch: int = 32,
+    batch: int | None = 32,
     mu: float = 0.0,
     noise: Noise | None = None,
     number: int = 0,
@@ -138,20 +126,22 @@ def local_update(
     """One training round per client from the given global weights.
 
     ``shards`` comes from ``prepare_shards``.  Whole mini-batches only, as the step
-    counts of the privacy ledger assume.  ``mu`` pulls local weights towards the
-    global ones (proximal term); ``noise`` clips example gradients and adds Gaussian
-    noise to each step.  Returns ``(client_id, num_examples, weights, loss,
-    train_ns)``, one row per client.
+    counts of the privacy ledger assume: a shard of fewer rows than ``batch`` takes
+    no step and has no loss.  ``batch=None`` makes each step over the whole shard.
+    ``mu`` pulls local weights towards the global ones (proximal term); ``noise``
+    clips example gradients and adds Gaussian noise to each step.  Returns
+    ``(client_id, num_examples, weights, loss, train_ns)``, one row per client.
     """
     trained = shards.groupBy("client_id", "shard").applyInPandas(
         _shard_trainer(weights, classes, epochs, rate, batch, mu, noise, number), UPDATE
     )
     # one aggregate for model and notes, so that shards train once
     n = F.col("num_examples")
+    heard = F.when(F.col("loss").isNotNull(), n)
     elements = trained.select("client_id", "num_examples", "loss", "train_ns", F.posexplode("weights").alias("pos", "w"))
     means = elements.groupBy("client_id", "pos").agg(
         (F.sum(F.col("w") * n) / F.sum(n)).alias("x"),
-        (F.sum(F.col("loss") * n) / F.sum(n)).alias("loss"),
+        (F.sum(F.col("loss") * heard) / F.sum(heard)).alias("loss"),
         F.sum(n).alias("num_examples"),
         F.max("train_ns").alias("train_ns"),
     )
@@ -167,33 +157,30 @@ def local_update(
     )
 
 
-def class_scores(x: str, weights: Sequence[float], classes: int, features: int) -> list[Column]:
-    """Linear class scores of the feature array in column ``x``.
-
-    Short models are written out as sums, which compile to plain arithmetic; longer
-    ones fold over constant arrays.  SQL text keeps thousands of constants cheap to build.
-    """
-    name = "`" + x.replace("`", "``") + "`"
+def class_scores(x: str, weights: Column, classes: int, features: int) -> list[Column]:
+    """Linear class scores of the feature array in column ``x`` for one array of all weights."""
     width = features + 1
     out = []
     for c in range(classes):
-        *row, bias = [f"{float(v)!r}D" for v in weights[c * width : (c + 1) * width]]
-        if classes * width <= PLAIN_TERMS:
-            out.append(F.expr(" + ".join([bias, *[f"get({name}, {i}) * {w}" for i, w in enumerate(row)]])))
-        else:
-            products = f"zip_with({name}, array({', '.join(row)}), (a, b) -> a * b)"
-            out.append(F.expr(f"aggregate({products}, {bias}, (total, v) -> total + v)"))
+        row = F.slice(weights, c * width + 1, features)
+        products = F.zip_with(quoted(x), row, lambda a, b: a * b)
+        out.append(F.aggregate(products, F.get(weights, F.lit(c * width + features)), lambda total, v: total + v))
     return out
 
 
+def weight_array(spark: SparkSession, weights: Sequence[float]) -> Column:
+    """The weights as a scalar subquery on a one-row table, which keeps them out of the query text."""
+    return spark.createDataFrame([([float(w) for w in weights],)], "weights array<double>").scalar()
+
+
 def evaluate_clients(
     df: DataFrame, weights: Sequence[float], classes: int, features: int, label: str = "label", x: str = "x"
 ) -> DataFrame:
     """``(client_id, loss, accuracy, num_examples)`` of fixed weights, from expressions only."""
-    scored = df.select(
+    scored = df.withColumn("_held", weight_array(df.sparkSession, weights)).select(
         "client_id",
         quoted(label).alias("_y"),
-        F.array(*class_scores(x, weights, classes, features)).alias("_s"),
+        F.array(*class_scores(x, F.col("_held"), classes, features)).alias("_s"),
     )
     top = F.array_max("_s")
     total = F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
@@ -210,6 +197,11 @@ def evaluate_clients(
     )
 
 
+def secret_seed(secret: DataFrame) -> int:
+    """A seed for noise from a one-row table with the column ``secret``."""
+    return secret.select(F.xxhash64(F.sha2(F.concat(F.col("secret"), F.lit(":noise")), 256))).first()[0] & (1 << 63) - 1
+
+
 def federated_fit(
     df: DataFrame,
     features: Sequence[str],
@@ -219,113 +211,93 @@ def federated_fit(
     rounds: int,
     epochs: int = 2,
     rate: float = 0.1,
-    batch: int = 32,
+    batch: int | None = 32,
     mu: float = 0.0,
     noise: Noise | None = None,
-    secret: DataFrame | None = None,
     test: float = 0.0,
     condition: str = "A_baseline",
     run: int = 1,
-    shard_rows: int = SHARD_ROWS,
+    shards: int = 1,
 ) -> tuple[list[float], DataFrame]:
     """Federated rounds: local updates, weighted average, evaluation, telemetry.
 
     ``mu`` switches on the proximal term and ``noise`` private steps, whose budget
-    is logged per client and round.  With a one-row ``secret`` table client weights
-    travel sealed under a key of their round.  The model is evaluated on the
+    is logged per client and round; a client of several shards is charged for the
+    costliest, as each row is in one of them.  The model is evaluated on the
     training rows, or on a stratified share ``test`` that no client trains on.
 
     Shards are partitioned and sorted once and kept, so rounds neither shuffle nor
-    sort the rows again.  Only the averaged model, whose size the feature list
-    fixes, returns to the driver.  Gives the final weights and a telemetry table.
+    sort the rows again.  A round writes its updates and its scores; telemetry is
+    made of them once, after the last round.  Only the averaged model, whose size
+    the feature list fixes, returns to the driver.  Gives the final weights and a
+    telemetry table.
     """
     spark = df.sparkSession
     marked = stratified_split(df, label, test, [key]) if test > 0 else df
     train = marked.filter("not is_test") if test > 0 else marked
-    sizes = class_sizes(train, ["client_id"])
-    count = sizes.agg(F.sum(F.ceil(F.col("_rows") / shard_rows))).first()[0] or 1
-    width = min(int(count), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = (
-        prepare_shards(train, features, label, key, shard_rows, sizes)
-        .repartition(width, "client_id", "shard")
+    dealt = (
+        prepare_shards(train, features, label, key, shards)
+        .repartition("client_id", "shard")
         .sortWithinPartitions("client_id", "shard")
         .persist()
     )
     # filled here, so that every round sees the partitioning
-    shards.count()
-    judged = shards
+    sizes = materialize(dealt.groupBy("client_id", "shard").agg(F.count("*").alias("n")), "shards")
+    judged = dealt
     if test > 0:
         judged = marked.filter("is_test").select(
             F.col("client_id").cast("int").alias("client_id"),
             quoted(label).cast("int").alias("label"),
             assemble(list(features)).alias("x"),
         ).persist()
-    budget = None
-    if noise:
-        plan = sizes.select(
-            "client_id", F.col("_rows").alias("n"), F.lit(noise.sigma).alias("sigma"), F.lit(noise.delta).alias("delta"),
-            F.lit(True).alias("dp_enabled"),
-        )
-        budget = materialize(privacy_ledger(plan, rounds, epochs, batch, fractional=noise.sigma < 1), "budget")
     weights = initial_weights(len(features), classes)
-    path = scratch_path(spark, "rounds")
+    updates, scores = [], []
     try:
         for number in range(1, rounds + 1):
-            updates = materialize(
-                local_update(shards, weights, classes, epochs, rate, batch, mu, noise, number)
-                .withColumn("server_round", F.lit(number)),
-                "clients",
-            )
-            sent = _travel(updates, secret)
-            weights = list(weighted_vector_mean(sent, ["server_round"], "weights", "num_examples").first()["weights"])
-            scores = materialize(
-                evaluate_clients(judged, weights, classes, len(features)).withColumn("server_round", F.lit(number)),
-                "scores",
-            )
-            stamp = [F.lit(condition).alias("condition"), F.lit(run).alias("run")]
-            spent = budget.filter(F.col("server_round") == number) if noise else None
-            fitted = lookup(sent, spent, ["client_id"], ["epsilon"]) if noise else sent.withColumn(
-                "epsilon", F.lit(None).cast("double"))
-            clock = F.lit(None).cast("bigint")
-            fit_rows = round_metrics(fitted.select(
-                *stamp, "server_round", "client_id", "train_ns", "plain_bytes", "sealed_bytes", "epsilon",
-                clock.alias("encap_ns"), clock.alias("sym_enc_ns"),
-            ))
-            total = weighted_metrics(scores, ["server_round"])
-            joint = total.select(
-                *stamp, "server_round", F.lit(AGGREGATE).alias("client_id"), "global_loss", "global_accuracy",
-                F.lit(AGGREGATE).alias("eval_client_id"),
-                F.col("global_loss").alias("eval_loss"), F.col("global_accuracy").alias("eval_accuracy"),
-            )
-            own = lookup(scores, total, ["server_round"], ["global_loss", "global_accuracy"]).select(
-                *stamp, "server_round", "client_id", "global_loss", "global_accuracy",
-                F.col("client_id").alias("eval_client_id"),
-                F.col("loss").alias("eval_loss"), F.col("accuracy").alias("eval_accuracy"),
-            )
-            rows = fit_rows.unionByName(to_telemetry(joint)).unionByName(to_telemetry(own))
-            append_telemetry(rows, path)
+            made = local_update(dealt, weights, classes, epochs, rate, batch, mu, noise, number)
+            updates.append(materialize(made.withColumn("server_round", F.lit(number)), "updates"))
+            weights = list(weighted_vector_mean(updates[-1], ["server_round"], "weights", "num_examples").first()["weights"])
+            found = evaluate_clients(judged, weights, classes, len(features))
+            scores.append(materialize(found.withColumn("server_round", F.lit(number)), "scores"))
     finally:
-        shards.unpersist()
+        dealt.unpersist()
         judged.unpersist()
+    path = scratch_path(spark, "rounds")
+    stamp = [F.lit(condition).alias("condition"), F.lit(run).alias("run")]
+    sent = reduce(DataFrame.unionByName, updates)
+    if noise:
+        plan = sizes.select(
+            F.struct("client_id", "shard").alias("client_id"), "n", F.lit(noise.sigma).alias("sigma"),
+            F.lit(noise.delta).alias("delta"), F.lit(True).alias("dp_enabled"))
+        spent = privacy_ledger(plan, rounds, epochs, batch).groupBy(
+            F.col("client_id.client_id").alias("client_id"), "server_round").agg(F.max("epsilon").alias("epsilon"))
+        sent = lookup(sent, materialize(spent, "budget"), ["client_id", "server_round"], ["epsilon"])
+    else:
+        sent = sent.withColumn("epsilon", F.lit(None).cast("double"))
+    append_telemetry(_round_rows(sent, reduce(DataFrame.unionByName, scores), stamp), path)
     return weights, spark.read.schema(to_telemetry(df.limit(0).select()).schema).parquet(path)
 
 
-def _travel(updates: DataFrame, secret: DataFrame | None) -> DataFrame:
-    """Client weights as they arrive: sealed and opened again when there is a secret."""
-    body = F.to_json("weights")
-    if secret is None:
-        return updates.withColumn("plain_bytes", F.octet_length(body).cast("bigint")).withColumn(
-            "sealed_bytes", F.lit(None).cast("bigint")
-        )
-    keys = round_keys(updates, secret)
-    closed = seal(updates.withColumn("body", body).drop("weights"), "body", keys, max_keys=None)
-    opened = open_sealed(closed, "sealed", keys, max_keys=None)
-    return (
-        opened.filter("plain is not null")
-        .withColumn("weights", F.from_json(F.col("plain").cast("string"), "array<double>"))
-        .withColumn("sealed_bytes", F.octet_length("sealed").cast("bigint"))
-        .drop("plain", "sealed")
+def _round_rows(sent: DataFrame, scores: DataFrame, stamp: list[Column]) -> DataFrame:
+    """Telemetry of all rounds: a fit row and a score row per client, a joint row per round."""
+    clock = F.lit(None).cast("bigint")
+    fit_rows = round_metrics(sent.select(
+        *stamp, "server_round", "client_id", "train_ns",
+        F.octet_length(F.to_json("weights")).cast("bigint").alias("plain_bytes"), clock.alias("sealed_bytes"), "epsilon",
+        clock.alias("encap_ns"), clock.alias("sym_enc_ns"),
+    ))
+    total = weighted_metrics(scores, ["server_round"])
+    joint = total.select(
+        *stamp, "server_round", F.lit(AGGREGATE).alias("client_id"), "global_loss", "global_accuracy",
+        F.lit(AGGREGATE).alias("eval_client_id"),
+        F.col("global_loss").alias("eval_loss"), F.col("global_accuracy").alias("eval_accuracy"),
+    )
+    own = scores.join(total.select("server_round", "global_loss", "global_accuracy"), "server_round").select(
+        *stamp, "server_round", "client_id", "global_loss", "global_accuracy",
+        F.col("client_id").alias("eval_client_id"),
+        F.col("loss").alias("eval_loss"), F.col("accuracy").alias("eval_accuracy"),
     )
+    return fit_rows.unionByName(to_telemetry(joint)).unionByName(to_telemetry(own))
 
 
 def fit_baseline(

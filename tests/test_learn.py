@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlab.operators import learn, metrics
+from flowlab.operators import learn, metrics, privacy
 from flowlab.sources.telemetry import TELEMETRY
 
 
@@ -18,15 +20,15 @@ def rows(spark):
 
 
 def trained(spark, rows, **kw):
-    shards = learn.prepare_shards(rows, ["a", "b"], "label", "id", kw.pop("shard_rows", 50_000))
+    shards = learn.prepare_shards(rows, ["a", "b"], "label", "id", kw.pop("shards", 1))
     got = learn.local_update(shards, learn.initial_weights(2, 3), 3, **kw)
     return {r["client_id"]: r for r in got.collect()}
 
 
 def test_full_batch_step_matches_brute_force(spark, rows):
     pdf = rows.toPandas()
-    for shard_rows in (50_000, 100):
-        got = trained(spark, rows, epochs=1, rate=0.5, batch=10**6, shard_rows=shard_rows)
+    for shards in (1, 5):
+        got = trained(spark, rows, epochs=1, rate=0.5, batch=None, shards=shards)
         for client, part in pdf.groupby("client_id"):
             x = np.column_stack([part[["a", "b"]], np.ones(len(part))])
             y = np.eye(3)[part["label"]]
@@ -41,10 +43,33 @@ def test_proximal_term_pulls_towards_the_start(spark, rows):
         assert np.linalg.norm(held[client]["weights"]) < np.linalg.norm(free[client]["weights"])
 
 
-def test_shards_are_bounded_and_whole(spark, rows):
-    shards = learn.prepare_shards(rows, ["a", "b"], "label", "id", shard_rows=100)
+def test_shards_are_those_asked_for(spark, rows):
+    shards = learn.prepare_shards(rows, ["a", "b"], "label", "id", shards=5)
     sizes = [r["count"] for r in shards.groupBy("client_id", "shard").count().collect()]
-    assert sum(sizes) == 900 and max(sizes) < 200 and len(sizes) == 10
+    assert sum(sizes) == 900 and len(sizes) == 10
+
+
+def sequential(x, y, w, epochs, rate, batch):
+    """The plain loop over whole mini-batches."""
+    for _ in range(epochs):
+        for at in range(0, len(x) - batch + 1, batch):
+            xb, yb = x[at:at + batch], y[at:at + batch]
+            p = np.exp(xb @ w.T - (xb @ w.T).max(axis=1, keepdims=True))
+            w = w - rate * (p / p.sum(axis=1, keepdims=True) - yb).T @ xb / batch
+    return w
+
+
+@pytest.mark.parametrize("n", [20, 120_000])
+def test_a_client_of_any_size_trains_like_the_plain_loop(spark, n):
+    table = spark.range(n).select(
+        "id", F.lit(7).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 500.0 - 1).alias("a"), (F.col("id") % 3 / 2.0).alias("b"))
+    got = trained(spark, table, epochs=1, rate=0.1, batch=32)[7]
+    data = sorted((hashlib.md5(f"order:{r.id}".encode()).hexdigest(), r.a, r.b, r.label) for r in table.collect())
+    x = np.array([(a, b, 1.0) for _, a, b, _ in data])
+    want = sequential(x, np.eye(3)[[r[3] for r in data]], np.zeros((3, 3)), 1, 0.1, 32)
+    assert got["weights"] == pytest.approx(want.ravel().tolist(), abs=1e-9) and got["num_examples"] == n
+    assert (got["loss"] is None) == (n < 32)
 
 
 def test_rounds_learn_and_log(spark, rows):
@@ -58,32 +83,38 @@ def test_rounds_learn_and_log(spark, rows):
     assert {r["global_accuracy"] for r in own} == {joint[3]["global_accuracy"]}
 
 
-def test_sealed_private_rounds(spark, rows):
+def test_private_rounds(spark, rows):
     secret = spark.createDataFrame([("s3cret",)], "secret string")
+    noise = learn.Noise(learn.secret_seed(secret), sigma=2.0)
     plain, _ = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=2)
-    closed, log = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=2, secret=secret, condition="B_pqc_only")
-    assert closed == pytest.approx(plain)
-    fit = log.filter("is_encrypted").collect()
-    assert len(fit) == 4 and all(r["encrypted_payload_bytes"] == r["plaintext_payload_bytes"] + 28 for r in fit)
-    assert all(r["epsilon_consumed"] == -1.0 and not r["dp_enabled"] and r["sym_enc_ms"] is None for r in fit)
-    noisy, log = learn.federated_fit(
-        rows, ["a", "b"], "label", 3, "id", rounds=2, secret=secret, noise=learn.Noise(sigma=2.0), test=0.2)
-    again, _ = learn.federated_fit(
-        rows.repartition(5), ["a", "b"], "label", 3, "id", rounds=2, noise=learn.Noise(sigma=2.0), test=0.2)
+    noisy, log = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=2, noise=noise, test=0.2)
+    again, _ = learn.federated_fit(rows.repartition(5), ["a", "b"], "label", 3, "id", rounds=2, noise=noise, test=0.2)
     assert noisy == pytest.approx(again) and noisy != pytest.approx(plain, rel=1e-3)
     spent = {(r["client_id"], r["server_round"]): r["epsilon_consumed"] for r in log.filter("dp_enabled").collect()}
     assert len(spent) == 4 and spent["0", 2] > spent["0", 1] > 0
 
 
+def test_budget_is_that_of_what_is_trained(spark, rows):
+    def spent(shards):
+        _, log = learn.federated_fit(rows, ["a", "b"], "label", 3, "id", rounds=1, noise=learn.Noise(5), shards=shards)
+        return {r["client_id"]: r["epsilon_consumed"] for r in log.filter("dp_enabled").collect()}
+
+    shards = learn.prepare_shards(rows, ["a", "b"], "label", "id", 3).groupBy("client_id", "shard").agg(F.count("*").alias("n"))
+    plan = shards.withColumns({"sigma": F.lit(1.1), "delta": F.lit(1e-5), "dp_enabled": F.lit(True)})
+    each = {}
+    for r in privacy.privacy_ledger(plan.withColumn("client_id", F.struct("client_id", "shard")), 1, 2).collect():
+        key = str(r["client_id"]["client_id"])
+        each[key] = max(each.get(key, 0), r["epsilon"])
+    assert spent(3) == pytest.approx(each) and all(spent(1)[k] < each[k] for k in each)
+
+
 def test_clipping_bounds_a_step(spark, rows):
     loud = rows.withColumn("a", F.col("a") * 1000)
-    held = trained(spark, loud, epochs=1, rate=1.0, batch=10**6, noise=learn.Noise(sigma=0.0, clip=0.5))
+    held = trained(spark, loud, epochs=1, rate=1.0, batch=None, noise=learn.Noise(0, sigma=0.0, clip=0.5))
     assert all(np.linalg.norm(r["weights"]) <= 0.5 + 1e-9 for r in held.values())
 
 
-@pytest.mark.parametrize("terms", [0, 256])
-def test_evaluation(spark, rows, terms, monkeypatch):
-    monkeypatch.setattr(learn, "PLAIN_TERMS", terms)
+def test_evaluation(spark, rows):
     w = np.arange(9).reshape(3, 3) / 5 - 0.7
     got = {r["client_id"]: r for r in learn.evaluate_clients(
         rows.withColumn("x", F.array("a", "b")), w.ravel().tolist(), 3, 2).collect()}
