@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from flowlab.scratch import materialize
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 CALIBRATION_QUERIES = 200
 BRANCHES = 8
-LEAF_SAMPLE = 200
+LEAF_SAMPLE = 400
 BLOCK_ROWS = 4_096
 
 
