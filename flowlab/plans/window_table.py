@@ -13,10 +13,12 @@ from ..operators.windows import (
     START,
     any_attack,
     densify_windows,
-    first_attack,
+    first_attacks,
     mode_labels,
-    with_mode_label,
     window_features,
+    windowed,
+    with_first_attack,
+    with_mode_label,
 )
 
 
@@ -36,12 +38,13 @@ def window_table(
     densify: bool = False,
     fill: float | None = None,
     seed: int = 42,
+    approximate: bool = False,
 ) -> DataFrame:
     """One row per window: ``{col}_min/max/mean``, counts, text features and the label.
 
     Unreadable numbers count as 0.  The label rule is ``any``, ``first_attack`` or
-    ``mode``.  Features and the first two rules share one aggregate; ``mode`` counts
-    labels in a second, two-column pass.
+    ``mode``.  ``any`` shares the features' aggregate; the others read labels in a
+    second, narrow pass.  ``approximate`` estimates distinct counts.
     """
     source = fraction_sample(flows, fraction, key, seed) if fraction < 1.0 else flows
     have = [c for c in numbers if c in source.columns]
@@ -49,11 +52,11 @@ def window_table(
     extra: list[Column] = []
     if rule == "any":
         extra = [any_attack(is_attack if is_attack is not None else quoted(label) != "Benign").alias(label)]
-    elif rule == "first_attack":
-        extra = [first_attack(label, order or ["ts"]).alias(label)]
-    elif rule != "mode":
+    elif rule not in ("first_attack", "mode"):
         raise ValueError(f"unknown window label rule: {rule}")
-    table = window_features(typed, size, have, text, edges, uid=uid, order=order, extra=extra)
+    table = window_features(typed, size, have, text, edges, uid=uid, order=order, extra=extra, approximate=approximate)
+    if rule == "first_attack":
+        table = with_first_attack(table, first_attacks(windowed(typed, size), label, order or ["ts"]), label)
     if rule == "mode":
         table = with_mode_label(table, mode_labels(typed, size, label), label)
     if densify:

@@ -59,7 +59,7 @@ def test_labels(rows):
         windows.window_label(rows, "5 seconds", "median")
 
 
-@pytest.mark.parametrize("block", ["10 seconds", "30 days"])
+@pytest.mark.parametrize("block", [1, 2, 100_000])
 def test_empty_windows(rows, block):
     table = windows.window_features(rows, "5 seconds", ["duration"], uid="uid")
     got = by_start(windows.densify_windows(table, "5 seconds", counts=["packet_count"], block=block))
@@ -67,6 +67,43 @@ def test_empty_windows(rows, block):
     assert got[at(10)]["packet_count"] == 0 and got[at(10)]["duration_mean"] is None
 
 
+@pytest.mark.parametrize("size, days", [("7 days", 100), ("7 minutes", 40), ("60 days", 100), ("11 hours", 90)])
+def test_no_window_is_lost_for_any_size(spark, size, days):
+    rows = spark.range(days * 4).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 6, 5) * id").alias("ts"))
+    table = windows.window_features(rows, size, uid="ts")
+    dense = windows.densify_windows(table, size, counts=["packet_count"], block=13)
+    assert dense.agg(F.sum("packet_count")).first()[0] == days * 4
+    assert dense.filter("packet_count > 0").count() == table.count() and dense.count() >= table.count()
+
+
+def test_plans_do_not_sort_rows(spark, tmp_path, rows):
+    rows.write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    tables = [
+        windows.window_features(source, "5 seconds", ["duration"], ["service"], ["service"], order=["ts", "id"], uid="uid"),
+        windows.window_label(source, "5 seconds", "first_attack", order=["ts", "id"]),
+        window_table(source, "5 seconds", text=["service"], rule="mode"),
+    ]
+    for table in tables:
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan
+        # texts at the ends of windows are only sorted after the filter by the ends
+        assert "min_by" not in plan and "max_by" not in plan or table is tables[2]
+    mode = tables[2]._jdf.queryExecution().executedPlan().toString()
+    assert mode.count("coalesce(window_start") == 0
+
+
+def test_edges_that_tie_give_the_smallest_text(spark):
+    tied = spark.createDataFrame([(at(0), "b"), (at(0), "a"), (at(1), None), (at(3), "d"), (at(3), "c")], "ts timestamp_ntz, s string")
+    got = windows.window_features(tied, "5 seconds", edges=["s"]).first()
+    assert (got["s_first"], got["s_last"], got["s_nunique"]) == ("a", "c", 4)
+
+
+def test_approximate_counts(rows):
+    got = by_start(window_table(rows, "5 seconds", text=["service"], approximate=True))
+    assert got[at(0)]["flow_count"] == 2 and got[at(0)]["service_nunique"] == 2
+
+
 def test_window_table_rules(rows):
     dense = by_start(window_table(rows, "5 seconds", densify=True, fill=0.0))
     assert [dense[k]["label"] for k in sorted(dense)] == [1, 0, 0, 0, 1]
