@@ -50,41 +50,57 @@ def words_of(text: str) -> list[str]:
 
 
 class Weights:
-    """Weights of template words, the weight of all others, and the cue words."""
+    """Weights of template words and the weight of all others."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
         bags = [Counter(words_of(text)) for _, text in templates]
         seen = Counter(word for bag in bags for word in bag)
+        self.names = [name for name, _ in templates]
         self.idf = {word: math.log((1 + len(bags)) / (1 + n)) + 1 for word, n in seen.items()}
         self.other = math.log(1 + len(bags)) + 1
         self.rows: list[tuple[str, int, str, float]] = []
-        cues = set()
-        for number, ((name, _), bag) in enumerate(zip(templates, bags)):
+        for number, (name, bag) in enumerate(zip(self.names, bags)):
             heavy = {word: n * self.idf[word] for word, n in bag.items()}
             size = math.sqrt(sum(x * x for x in heavy.values()))
             self.rows += [(word, number, name, x / size) for word, x in sorted(heavy.items())]
+
+    def cues(self, least: float) -> list[str]:
+        """Words of which every unit with a cosine of ``least`` has one: without them too little is left."""
+        out = set()
+        for number in range(len(self.names)):
             rest = 1.0
-            for word in sorted(heavy, key=lambda w: (-heavy[w], -len(w), w)):
+            for x, word in sorted(((x, w) for w, k, _, x in self.rows if k == number), key=lambda r: (-r[0], -len(r[1]), r[1])):
                 if rest < least * least * (1 - 1e-9):
                     break
-                cues.add(word)
-                rest -= (heavy[word] / size) ** 2
-        self.cues = sorted(cues)
+                out.add(word)
+                rest -= x * x
+        return sorted(out)
+
+    def pattern(self, least: float) -> str:
+        """A pattern that finds a cue word."""
+        return r"(?i)(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in self.cues(least)) + r")(?![a-z0-9])"
 
 
 def _similar(units: DataFrame, weights: Weights, unit: list[str], words: Column, least: float) -> DataFrame:
-    """(unit columns, license, score): the best template of each unit that reaches ``least``."""
-    spark = units.sparkSession
-    idf = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "word string, idf double"))  # template words
-    heavy = F.broadcast(spark.createDataFrame(weights.rows, "word string, template int, license string, weight double"))
+    """(unit columns, license, score): the best template of each unit that reaches ``least``.
+
+    A word brings its weight in every template, so one aggregate of a unit's words
+    gives its length and its product with each of them.
+    """
+    table: dict[str, list[float]] = {word: [0.0] * len(weights.names) for word in weights.idf}
+    for word, number, _, x in weights.rows:
+        table[word][number] = x
+    known = F.broadcast(units.sparkSession.createDataFrame(  # the words of the templates
+        [(word, weights.idf[word], row) for word, row in table.items()], "word string, idf double, heavy array<double>"))
     terms = units.select(*unit, F.explode(words).alias("word")).groupBy(*unit, "word").agg(F.count("*").alias("times"))
-    weighed = terms.join(idf, "word", "left").withColumn("x", F.col("times") * F.coalesce("idf", F.lit(weights.other)))
-    sizes = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(heavy, "word").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(sizes, unit).select(*unit, "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("low"), "license"))
-    return scored.where(F.col("score") >= least).groupBy(*unit).agg(best.alias("best")).select(
-        *unit, "best.license", (-F.col("best.low")).alias("score"))
+    x = F.col("times") * F.coalesce("idf", F.lit(weights.other))
+    made = terms.join(known, "word", "left").groupBy(*unit).agg(
+        F.sqrt(F.sum(x * x)).alias("size"),
+        *[F.sum(F.coalesce(x * F.get("heavy", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(weights.names))])
+    scores = F.array(*[F.struct((-F.round(F.col(f"dot{k}") / F.col("size"), 6)).alias("low"), F.lit(name).alias("license"))
+                       for k, name in enumerate(weights.names)])
+    best = made.select(*unit, F.array_min(scores).alias("best"))
+    return best.select(*unit, "best.license", (-F.col("best.low")).alias("score")).where(F.col("score") >= least)
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES,
@@ -100,11 +116,13 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     below it.  A null text has no notice; a null path lies in no directory;
     repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    weights = Weights(templates, min(header, whole))
-    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in weights.cues) + r")(?![a-z0-9])"
+    weights = Weights(templates)
+    cue = weights.pattern(min(header, whole))
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     noted = materialize(rows.where(F.col("text").rlike(cue)).withColumn("row", F.monotonically_increasing_id()), "noted")
-    lines = noted.select("row", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(F.col("value").rlike(cue))
+    own_rows = noted.repartition("row")  # words stay with their row from here on
+    lines = own_rows.select("row", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(
+        F.col("value").rlike(weights.pattern(header)))
     stop = F.array(*map(F.lit, sorted(STOP)))
 
     def in_words(column: str) -> Column:
@@ -114,7 +132,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     headers = _similar(lines, weights, ["row", "line"], in_words("value"), header)
     headers = headers.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("best")).select(
         "row", F.col("best.license").alias("header_license"), (-F.col("best.low")).alias("header_score"))
-    wholes = _similar(noted, weights, ["row"], in_words("text"), whole).select(
+    wholes = _similar(own_rows, weights, ["row"], in_words("text"), whole).select(
         "row", F.col("license").alias("file_license"), F.col("score").alias("file_score"))
     own = noted.select("row", "path").join(wholes, "row", "left").join(headers, "row", "left")
     own = materialize(own.where("file_license is not null or header_license is not null").select(

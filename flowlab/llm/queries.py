@@ -54,7 +54,7 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(docs.withColumn("path", F.expr(_PATH.format("string"))))
 
 
-_WEIGHTS = Weights(TEMPLATES, min(HEADER, FILE))
+_WEIGHTS = Weights(TEMPLATES)
 _IDF_ROWS = ", ".join(f"('{w}', {x!r}::double)" for w, x in _WEIGHTS.idf.items())
 _HEAVY_ROWS = ", ".join(f"('{w}', {k}, '{n}', {x!r}::double)" for w, k, n, x in _WEIGHTS.rows)
 _STOP_LIST = ", ".join(f"'{w}'" for w in sorted(STOP))

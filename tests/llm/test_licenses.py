@@ -16,7 +16,7 @@ ROWS = [
 
 
 def cosine(text):
-    weights, best = Weights(TEMPLATES, 0.5), (0.0, "")
+    weights, best = Weights(TEMPLATES), (0.0, "")
     bag = Counter(words_of(text))
     size = math.sqrt(sum((n * weights.idf.get(w, weights.other)) ** 2 for w, n in bag.items()))
     for k in range(len(TEMPLATES)):
@@ -64,9 +64,9 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("least", [0.3, 0.5, 0.75])
 def test_no_similar_text_lacks_a_cue(least):
-    weights = Weights(TEMPLATES, least)
+    weights = Weights(TEMPLATES)
     for _, text in TEMPLATES:
-        without = " ".join(w for w in words_of(text) if w not in weights.cues)
+        without = " ".join(w for w in words_of(text) if w not in weights.cues(least))
         assert not without or cosine(without)[0] < 1.0
         number = [t for _, t in TEMPLATES].index(text)
-        assert sum(x * x for w, t, _, x in weights.rows if t == number and w not in weights.cues) < least * least
+        assert sum(x * x for w, t, _, x in weights.rows if t == number and w not in weights.cues(least)) < least * least
