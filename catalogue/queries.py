@@ -738,7 +738,7 @@ CODED = ["proto", "service", "uid"]
 
 
 @query(f"with f as ({A.PARSED}) select event_id, " + ", ".join(
-    f"cast(case when {c} is null then -1 else dense_rank() over (order by {c} nulls last) - 1 end as int) as {c}" for c in CODED
+    f"cast(case when {c} is null then -1 else dense_rank() over (order by {c} nulls last) - 1 end as bigint) as {c}" for c in CODED
 ) + " from f")
 def q_ordinal_encode(spark, folder):
     return encode.ordinal_encode(parsed(spark, folder).select("event_id", *CODED), CODED)

@@ -154,6 +154,28 @@ def constant_columns(
     return [c for c in cols if c in constant]
 
 
+def class_profile(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """Row count and range of every column per class: sizes and constants from one pass."""
+    aggs = [F.count("*").alias("_rows")]
+    for c in cols:
+        x = quoted(c)
+        aggs.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).alias(f"_p_{c}"))
+    return df.groupBy(quoted(label)).agg(*aggs)
+
+
+def constant_in_profile(profile: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Names of the columns that hold one value over all classes of a ``class_profile``."""
+    if not cols:
+        return []
+    cells = []
+    for c in cols:
+        low, high, n = (quoted(f"_p_{c}")[k] for k in ("lo", "hi", "n"))
+        same = (F.sum(n) == 0) | ((F.sum(n) == F.sum("_rows")) & F.min(low).eqNullSafe(F.max(high)))
+        cells.append(same.alias(c))
+    row = profile.agg(*cells).first()
+    return [c for c, same in zip(cols, row) if same]
+
+
 def drop_constant_columns(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Drop columns that hold a single value, and say which."""
     gone = constant_columns(df, [c for c in df.columns if c not in set(exclude)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import BENIGN
@@ -12,23 +12,17 @@ from ..functions.scalars import quoted
 from ..scratch import materialize
 from .ordering import lookup, running_total
 
-SMALL_DICTIONARY = 1_000_000
-
 
 def fit_label_encoder(df: DataFrame, col: str) -> DataFrame:
-    """Class dimension ``(label_str, label)``: Benign is 0, the others alphabetical.
-
-    The window runs over the distinct class names only.
-    """
+    """Class dimension ``(label_str, label)``: Benign is 0, the others alphabetical."""
     return number_labels(df.select(quoted(col).alias("label_str")).distinct())
 
 
 def number_labels(names: DataFrame) -> DataFrame:
     """Codes for a table of distinct class names ``label_str``."""
-    order = Window.orderBy(F.col("label_str") != BENIGN, F.col("label_str"))
-    return names.filter("label_str is not null").select(
-        "label_str", (F.row_number().over(order) - 1).cast("bigint").alias("label")
-    )
+    known = names.filter("label_str is not null").withColumn("_other", F.col("label_str") != BENIGN)
+    ranked = running_total(known, ["_other", "label_str"], {"label": F.lit(1).cast("bigint")})
+    return ranked.select("label_str", (F.col("label") - 1).alias("label"))
 
 
 def encode_labels(df: DataFrame, dim: DataFrame, col: str, out: str = "label") -> DataFrame:
@@ -37,24 +31,16 @@ def encode_labels(df: DataFrame, dim: DataFrame, col: str, out: str = "label") -
     return lookup(df, codes, [col], ["_code"]).drop(col).withColumnRenamed("_code", out)
 
 
-def fit_ordinal_encoder(
-    df: DataFrame, cols: Sequence[str], small: int = SMALL_DICTIONARY
-) -> DataFrame:
+def fit_ordinal_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Dictionary ``(col, value, code)`` of several text columns; codes from 0 by value.
 
-    Distinct values are ranked by one window per column while the dictionary is
-    small.  Beyond ``small`` entries (URIs, host names) the ranks come from running
-    totals over range blocks instead.
+    Distinct values are ranked by running totals over range blocks, so a column of
+    billions of values is numbered by many tasks.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("value")) for c in cols]))
-    distinct = materialize(
-        df.select(pairs.alias("p")).select("p.col", "p.value").filter("value is not null").distinct(), "dictionary"
-    )
-    if distinct.count() <= small:
-        by_value = Window.partitionBy("col").orderBy("value")
-        return distinct.withColumn("code", F.row_number().over(by_value) - 1)
+    distinct = df.select(pairs.alias("p")).select("p.col", "p.value").filter("value is not null").distinct()
     ranked = running_total(distinct, ["value"], {"code": F.lit(1).cast("bigint")}, ["col"])
-    return ranked.withColumn("code", (F.col("code") - 1).cast("int"))
+    return materialize(ranked.withColumn("code", F.col("code") - 1), "dictionary")
 
 
 def apply_ordinal_encoder(df: DataFrame, dictionary: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -69,7 +55,7 @@ def apply_ordinal_encoder(df: DataFrame, dictionary: DataFrame, cols: Sequence[s
             F.col("value").alias(f"_value_{i}"), F.col("code").alias(f"_code_{i}")
         )
         out = out.join(side, quoted(c).cast("string") == F.col(f"_value_{i}"), "left").drop(f"_value_{i}")
-    codes = {c: F.coalesce(F.col(f"_code_{i}"), F.lit(-1)) for i, c in enumerate(cols)}
+    codes = {c: F.coalesce(F.col(f"_code_{i}"), F.lit(-1).cast("bigint")) for i, c in enumerate(cols)}
     return out.select(*[codes[c].alias(c) if c in codes else quoted(c) for c in df.columns])
 
 

@@ -7,6 +7,7 @@ blocks with offsets, and per-group samples use a cut point found from counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,10 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import quoted
 from ..scratch import materialize
 
-HASH_DIGITS = 32
-LEAF_ROWS = 1_000_000
-COPY_SALTS = 64
-
 
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], values: Sequence[str], how: str = "left") -> DataFrame:
     """Add ``values`` from a table with unique keys; NULL keys match NULL keys."""
@@ -40,7 +37,8 @@ def running_total(
     ``totals`` maps a new column to the value summed.  ``group + order`` should be
     unique.  Rows are range-partitioned into blocks (their number follows the size of
     the data unless given), written once so that block numbers stay fixed, summed
-    inside each block and shifted by the total of the blocks before.  A group that holds most rows is spread over many blocks.
+    inside each block and shifted by the total of the blocks before.  A group that
+    holds most rows is spread over many blocks.
     """
     keys = [quoted(k) for k in [*group, *order]]
     values = {name: f"_value_{i}" for i, name in enumerate(totals)}
@@ -74,189 +72,96 @@ def running_total(
     )
 
 
-def hash_rank(
-    df: DataFrame, group: Sequence[str], hashed: Column, key: Sequence[str], out: str, digits: int = 4
-) -> DataFrame:
+def hash_rank(df: DataFrame, group: Sequence[str], hashed: Column, key: Sequence[str], out: str) -> DataFrame:
     """Add the rank from 1 of every row in its group's hash order; ``key`` is unique.
 
-    Counts per hash prefix give each prefix its first rank, and rows are ranked
-    inside their prefix.  Hashes spread evenly, so a group of any size is ranked by
-    up to 16^digits tasks, with one shuffle of the rows.
+    A running total of ones: rows go to range blocks, whatever the size of a group.
     """
-    by = list(group)
-    keyed = df.withColumn("_hash", hashed).withColumn("_prefix", F.substring("_hash", 1, digits))
-    keys = [quoted(k) for k in by]
-    # one row per group and prefix
-    before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    first = materialize(
-        keyed.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
-        .select(*keys, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
-        "ranks",
-    )
-    inside = Window.partitionBy(*keys, "_prefix").orderBy("_hash", *[quoted(k) for k in key])
-    placed = lookup(keyed, first, [*by, "_prefix"], ["_before"], "inner")
-    return placed.select(
-        *[quoted(c) for c in df.columns], (F.row_number().over(inside) + F.col("_before")).alias(out)
-    )
+    keyed = df.withColumn("_hash", hashed)
+    return running_total(keyed, ["_hash", *key], {out: F.lit(1).cast("bigint")}, group).drop("_hash")
+
+
+def class_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(group, _rows)``: group sizes, written once."""
+    return materialize(df.groupBy(*[quoted(g) for g in group]).agg(F.count("*").alias("_rows")), "sizes")
 
 
 def hash_cuts(
-    rows: DataFrame,
-    group: Sequence[str],
-    hashed: str,
-    quota: Callable[[Column], Column],
-    leaf_rows: int = LEAF_ROWS,
+    rows: DataFrame, group: Sequence[str], hashed: str, quota: Callable[[Column], Column], sizes: DataFrame
 ) -> DataFrame:
     """Exact cut point per group: the hash text of the ``quota``-th lowest row.
 
-    ``quota`` maps the group's row count to the number of rows wanted.  Counts per
-    hash prefix locate the cut to a small bucket, counts of whole hashes inside
-    that bucket locate it exactly.  Both are partial aggregates over two narrow
-    columns, so neither a large class nor a hot key meets in one task.
+    ``quota`` maps the group's row count to the number of rows wanted.  A histogram
+    over hash prefixes finds the bucket of the cut, counts of whole hashes inside
+    the bucket find the cut.  Prefixes are as long as a group's size asks for: both
+    counts have about the square root of its rows.  Both are partial aggregates over
+    two narrow columns, so neither a large class nor a hot key meets in one task.
 
     Returns one row per group that keeps anything: the group columns, ``_cut``,
     ``_need`` (rows to keep with exactly that hash) and ``_ties`` (rows having it).
     """
     keys = [quoted(g) for g in group]
-    # windows over counts: at most 16^4 prefixes, or one small bucket, per group
     running = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
 
-    def edge(source: DataFrame, prefix: int, want: Column, carried: Sequence[str] = ()) -> DataFrame:
-        counts = (
-            source.groupBy(*keys, *carried, F.substring(hashed, 1, prefix).alias("_cut"))
-            .agg(F.count("*").alias("_ties"))
-            .withColumn("_upto", F.sum("_ties").over(running))
-            .withColumn("_rows", F.sum("_ties").over(whole))
-            .withColumn("_left", want)
-        )
-        found = counts.filter("_upto >= _left and _upto - _ties < _left")
+    def edge(counts: DataFrame, want: Column, carried: Sequence[str]) -> DataFrame:
+        upto = counts.withColumn("_upto", F.sum("_ties").over(running)).withColumn("_left", want)
+        found = upto.filter("_upto >= _left and _upto - _ties < _left")
         need = F.col("_left") - F.col("_upto") + F.col("_ties")
-        return materialize(found.select(*keys, "_cut", need.alias("_need"), "_ties"), "cuts")
+        return materialize(found.select(*keys, *carried, "_cut", need.alias("_need"), "_ties"), "cuts")
+
+    depth = F.greatest(F.lit(1), F.ceil(F.log(F.col("_rows").cast("double")) / math.log(16.0**2))).cast("int")
+    sized = lookup(rows, sizes.withColumn("_depth", depth), group, ["_rows", "_depth"], "inner")
+    prefixes = sized.groupBy(*keys, "_rows", "_depth", F.expr(f"substring({hashed}, 1, _depth)").alias("_cut")).agg(
+        F.count("*").alias("_ties"))
+    bucket = edge(prefixes, quota(F.col("_rows")), ["_depth"])
+    near = lookup(rows, bucket.withColumnRenamed("_cut", "_prefix"), group, ["_prefix", "_depth", "_need"], "inner").filter(
+        F.expr(f"substring({hashed}, 1, _depth) = _prefix"))
+    whole = near.groupBy(*keys, "_need", quoted(hashed).alias("_cut")).agg(F.count("*").alias("_ties"))
+    return edge(whole, F.col("_need"), [])
 
-    prefix = 4
-    found = edge(rows, prefix, quota(F.col("_rows")))
-    while prefix < HASH_DIGITS:
-        widest = found.agg(F.max("_ties")).first()[0] or 0
-        at = rows.withColumn("_prefix", F.substring(hashed, 1, prefix))
-        bucket = lookup(at, found.withColumnRenamed("_cut", "_prefix"), [*group, "_prefix"], ["_need"], "inner")
-        # eight digits split any number of distinct keys; copies of one key collapse when counted
-        prefix = HASH_DIGITS if prefix == 8 or widest <= leaf_rows else 8
-        found = edge(bucket, prefix, F.col("_need"), ["_need"])
-    return found
+
+def _grouped(df: DataFrame, group: Sequence[str], hashed: Column) -> tuple[DataFrame, list[str]]:
+    """Rows with their hash, and the group columns; without any, all rows are one group."""
+    keyed = df.withColumn("_hash", hashed)
+    return (keyed, list(group)) if group else (keyed.withColumn("_all", F.lit(0)), ["_all"])
 
 
 def mark_lowest(
-    df: DataFrame,
-    group: Sequence[str],
-    hashed: Column,
-    quota: Callable[[Column], Column],
-    flag: str,
-    leaf_rows: int = LEAF_ROWS,
+    df: DataFrame, group: Sequence[str], hashed: Column, quota: Callable[[Column], Column], flag: str
 ) -> DataFrame:
     """Add a boolean: is the row among the ``quota`` lowest hashes of its group?
 
     Rows that share a hash share a key and get one answer together: the one that
     comes closer to the quota.  With unique keys the count is exact.
     """
-    keyed = df.withColumn("_hash", hashed)
-    cuts = hash_cuts(keyed.select(*[quoted(g) for g in group], "_hash"), group, "_hash", quota, leaf_rows)
-    with_ties = F.col("_need") * 2 >= F.col("_ties")
-    if group:
-        marked = lookup(keyed, cuts.select(*[quoted(g) for g in group], "_cut", with_ties.alias("_with")), group, ["_cut", "_with"])
-        cut, tied = F.col("_cut"), F.col("_with")
-    else:
-        only = cuts.select("_cut", with_ties.alias("_with")).first()
-        marked = keyed
-        cut, tied = F.lit(only["_cut"] if only else ""), F.lit(bool(only and only["_with"]))
-    inside = (F.col("_hash") < cut) | ((F.col("_hash") == cut) & tied)
+    keyed, by = _grouped(df, group, hashed)
+    narrow = keyed.select(*[quoted(g) for g in by], "_hash")
+    cuts = hash_cuts(narrow, by, "_hash", quota, class_sizes(narrow, by))
+    with_ties = (F.col("_need") * 2 >= F.col("_ties")).alias("_with")
+    marked = lookup(keyed, cuts.select(*[quoted(g) for g in by], "_cut", with_ties), by, ["_cut", "_with"])
+    inside = (F.col("_hash") < F.col("_cut")) | ((F.col("_hash") == F.col("_cut")) & F.col("_with"))
     return marked.select(*[quoted(c) for c in df.columns], F.coalesce(inside, F.lit(False)).alias(flag))
 
 
-def class_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``(group, _rows)``: group sizes, written once."""
-    return materialize(df.groupBy(*[quoted(g) for g in group]).agg(F.count("*").alias("_rows")), "sizes")
-
-
 def take_lowest(
     df: DataFrame,
     group: Sequence[str],
     hashed: Column,
     quota: Callable[[Column], Column],
-    most: int | None = None,
     sizes: DataFrame | None = None,
-    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exactly the ``quota`` rows with the lowest hashes of every group.
 
-    ``most`` is an upper bound of the quota, if there is one.  Group sizes give each group a hash bar that a few more rows than wanted pass.
-    Wide rows are read once, filtered by the bar and written; only they are ranked.
-    Where a group comes up short (hashes of copied keys bunch up) or the quota is
-    too large to rank in one task, the exact cut point is searched instead.
+    Wide rows are read once, filtered by the cut of their group and written.  Copies
+    of one key may sit on a cut; just those are ranked, by all their columns.
     """
-    by = list(group)
-    keyed = df.withColumn("_hash", hashed)
-    keys = [quoted(k) for k in by]
-    if most is None or most > leaf_rows:
-        return _take_by_cut(df, keyed, by, quota, leaf_rows)
-    sizes = class_sizes(keyed, by) if sizes is None else sizes
-    want = F.col("_want")
-    share = (want + 8 * F.sqrt(want) + 64) / F.col("_rows")
-    bar = F.when(share < 1, F.lpad(F.lower(F.hex((share * float(16**12)).cast("bigint"))), 12, "0")).otherwise("g")
-    bars = sizes.withColumn("_want", quota(F.col("_rows")).cast("bigint")).select(*keys, "_want", bar.alias("_bar"))
+    keyed, by = _grouped(df, group, hashed)
+    narrow = keyed.select(*[quoted(g) for g in by], "_hash")
+    cuts = hash_cuts(narrow, by, "_hash", quota, class_sizes(narrow, by) if sizes is None else sizes)
     near = materialize(
-        lookup(keyed, bars, by, ["_want", "_bar"], "inner")
-        .filter(F.substring("_hash", 1, 12) <= F.col("_bar"))
-        .drop("_bar"),
-        "near",
-    )
-    got = lookup(bars, near.groupBy(*keys).agg(F.count("*").alias("_got")), by, ["_got"])
-    short, extra = got.agg(
-        F.max(F.coalesce(F.col("_got"), F.lit(0)) < want), F.max(F.col("_got") - want)
-    ).first()
-    if short:
-        return _take_by_cut(df, keyed, by, quota, leaf_rows)
-    kept = _top(near, by, ["_hash", *_orderable(df)], most, salted=(extra or 0) > leaf_rows)
-    return kept.select(*[quoted(c) for c in df.columns])
-
-
-def _orderable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-
-
-def _top(rows: DataFrame, by: Sequence[str], order: Sequence[str], most: int, salted: bool) -> DataFrame:
-    """The first ``_want`` rows of each group; ``most`` is the largest ``_want``.
-
-    ``order`` covers all columns, so the choice does not depend on placement.  With
-    ``salted``, parts of a group are cut down to ``most`` rows before they meet.
-    """
-    keys, total = [quoted(k) for k in by], [quoted(o) for o in order]
-    if salted:
-        part = Window.partitionBy(*keys, "_salt").orderBy(*total)
-        rows = (
-            rows.withColumn("_salt", F.spark_partition_id() % COPY_SALTS)
-            .withColumn("_rank", F.row_number().over(part))
-            .filter(F.col("_rank") <= F.lit(most))
-            .drop("_salt", "_rank")
-        )
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*total)))
-    return ranked.filter((F.col("_rank") <= F.lit(most)) & (F.col("_rank") <= F.col("_want"))).drop("_rank")
-
-
-def _take_by_cut(
-    df: DataFrame, keyed: DataFrame, by: Sequence[str], quota: Callable[[Column], Column], leaf_rows: int
-) -> DataFrame:
-    """``take_lowest`` by exact cut points: wide rows are only filtered, never ranked.
-
-    Where copies of one key sit on a cut, just those copies are ranked.
-    """
-    cuts = hash_cuts(keyed.select(*[quoted(k) for k in by], "_hash"), by, "_hash", quota, leaf_rows)
-    split, most = cuts.agg(F.max(F.col("_ties") > F.col("_need")), F.max("_need")).first()
-    joined = lookup(keyed, cuts, by, ["_cut", "_need"], "inner")
-    if not split:
-        kept = joined.filter(F.col("_hash") <= F.col("_cut"))
-    else:
-        copies = joined.filter(F.col("_hash") == F.col("_cut")).withColumn("_want", F.col("_need"))
-        some = _top(copies, by, _orderable(df), most, salted=True)
-        kept = joined.filter(F.col("_hash") < F.col("_cut")).unionByName(some.drop("_want"))
+        lookup(keyed, cuts, by, ["_cut", "_need"], "inner").filter(F.col("_hash") <= F.col("_cut")), "near")
+    order = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant") and f.name not in by]
+    copies = running_total(near.filter(F.col("_hash") == F.col("_cut")), ["_hash", *order], {"_rank": F.lit(1)}, by)
+    kept = near.filter(F.col("_hash") < F.col("_cut")).unionByName(
+        copies.filter(F.col("_rank") <= F.col("_need")).drop("_rank"))
     return kept.select(*[quoted(c) for c in df.columns])

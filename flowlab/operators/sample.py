@@ -27,13 +27,12 @@ def stratified_sample(
 ) -> DataFrame:
     """``min(class size, max(target, minimum))`` rows of every class.
 
-    Covers the two-step sampling of very large classes as well: a hash bar lets a
-    few rows more than wanted through, which are then trimmed, and no class comes
-    up short.  ``sizes`` are known class sizes ``(label, _rows)``.
+    Covers the two-step sampling of very large classes as well: rows are filtered by
+    the exact cut of their class in one narrow pass.  ``sizes`` are known class sizes
+    ``(label, _rows)``.
     """
-    most = max(target, minimum)
-    wanted = F.lit(most).cast("bigint")
-    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, wanted), most, sizes)
+    wanted = F.lit(max(target, minimum)).cast("bigint")
+    return take_lowest(df, [label], _hash(key, seed), lambda n: F.least(n, wanted), sizes)
 
 
 def take_all_or_sample(

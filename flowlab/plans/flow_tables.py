@@ -14,7 +14,9 @@ from ..operators.clean import (
     IDENTIFIERS,
     JOIN_SUFFIXES,
     assert_varying,
+    class_profile,
     constant_columns,
+    constant_in_profile,
     find_label_column,
     text_cols,
 )
@@ -86,9 +88,11 @@ def prepare_flows(
     extra = [c for c in dict.fromkeys([*key, *keep]) if c not in features]
     typed = flows.select(*[quoted(c) for c in extra], *read, parse_zeek_label(quoted(raw)).alias("label_str"))
 
-    sizes = class_sizes(typed, ["label_str"])
-    labels = number_labels(sizes)
-    constant = constant_columns(typed, features)
+    # sizes and constants in one pass over the rows
+    profile = materialize(class_profile(typed, "label_str", features), "profile")
+    sizes = profile.select("label_str", "_rows")
+    labels = materialize(number_labels(sizes), "labels")
+    constant = constant_in_profile(profile, features)
     features = [c for c in features if c not in constant]
     coded = [c for c in features if c in texts]
     # key columns may be features that turned out constant, so they are kept apart
@@ -138,7 +142,7 @@ def prepare_csv_flows(
     mapped = flows.withColumn("label_str", coarse_label(quoted(label), classes)).filter("label_str <> ''")
     # the sample holds every class, so class sizes name them all
     sizes = class_sizes(mapped, ["label_str"])
-    labels = number_labels(sizes)
+    labels = materialize(number_labels(sizes), "labels")
     sample = stratified_sample(mapped, "label_str", target, minimum, key, seed, sizes)
     features = [c for c in sample.columns if c not in {label, "label_str", *exclude, *keep}]
     texts = [c for c in text_cols(sample) if c in features]
