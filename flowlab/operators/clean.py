@@ -93,8 +93,8 @@ def clean_numeric(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0)
     return df.select(*[clean_number(quoted(c), fill).alias(c) if c in chosen else quoted(c) for c in df.columns])
 
 
-def fill_defaults(df: DataFrame, label: str = "label", text: str = "None") -> DataFrame:
-    """Missing numbers become 0, texts ``'None'``, labels ``'Benign'``."""
+def default_values(df: DataFrame, label: str = "label", text: str = "None") -> dict[str, Column]:
+    """Every column with its default for missing values."""
     fills = {}
     for f in df.schema:
         c = quoted(f.name)
@@ -108,7 +108,12 @@ def fill_defaults(df: DataFrame, label: str = "label", text: str = "None") -> Da
             fills[f.name] = F.coalesce(c, F.lit(text))
         else:
             fills[f.name] = c
-    return df.select(*[expr.alias(name) for name, expr in fills.items()])
+    return fills
+
+
+def fill_defaults(df: DataFrame, label: str = "label", text: str = "None") -> DataFrame:
+    """Missing numbers become 0, texts ``'None'``, labels ``'Benign'``."""
+    return df.select(*[expr.alias(name) for name, expr in default_values(df, label, text).items()])
 
 
 def stringify(df: DataFrame, cols: Sequence[str]) -> DataFrame:

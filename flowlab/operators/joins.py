@@ -8,84 +8,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted, strip
+from ..scratch import materialize
 
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 1_000
-HEAVY_PARTS = 64
-PROBE_SHARE = 0.01
+NULL_PARTS = 1_024
 
+_KEY, _OTHER, _PART, _OTHER_PART, _COPY, _FOUND = "_key", "_other_key", "_part", "_other_part", "_copy", "_found"
 
-def heavy_keys(df: DataFrame, key: str, rows: int = HEAVY_ROWS, probe: float = PROBE_SHARE) -> list:
-    """Keys that seem to hold more than ``rows`` rows, the most frequent thousand of them.
 
-    A probe of rows only decides where rows are placed in a join, never which rows
-    take part, so a missed or needless key changes no result.
+def _same(a: Column, b: Column, null_safe: bool) -> Column:
+    return a.eqNullSafe(b) if null_safe else a == b
+
+
+def hot_keys(base: DataFrame, logs: list[DataFrame], key: str, null_safe: bool, heavy_rows: int) -> DataFrame:
+    """``(_key, n0, m0, n1, m1, ...)`` for keys with more than ``heavy_rows`` rows on a side of some join.
+
+    ``n{i}`` are the rows of the key in log i, ``m{i}`` those of everything merged
+    before it.  Every table is counted once, over its key column alone; the result
+    has at most as many rows as the tables have multiples of ``heavy_rows``.
     """
-    seen = df.select(quoted(key).alias("k")).filter("k is not null").sample(probe, seed=7)
-    counts = seen.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > rows * probe)
-    return [r["k"] for r in counts.orderBy(F.desc("n")).limit(HEAVY_KEYS).collect()]
+    def counts(df: DataFrame, name: str, as_key: str) -> DataFrame:
+        rows = df.select(quoted(key).alias(as_key))
+        rows = rows if null_safe else rows.filter(F.col(as_key).isNotNull())
+        return rows.groupBy(as_key).agg(F.count("*").alias(name))
+
+    tally = counts(base, "m0", _KEY)
+    for i, log in enumerate(logs):
+        tally = tally.join(counts(log, f"n{i}", f"_k{i}"), _same(F.col(_KEY), F.col(f"_k{i}"), null_safe), "left").drop(f"_k{i}")
+        tally = tally.withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(0))).withColumn(
+            f"m{i + 1}", F.col(f"m{i}") * F.greatest(F.lit(1), F.col(f"n{i}")))
+    hot = [(F.col(f"n{i}") > 0) & (F.greatest(f"n{i}", f"m{i}") > heavy_rows) for i in range(len(logs))]
+    return materialize(tally.filter(reduce(lambda a, b: a | b, hot)), "hot_keys")
 
 
 def left_join_on(
-    base: DataFrame,
-    other: DataFrame,
-    key: str,
-    null_safe: bool = False,
-    heavy: list | None = None,
-    parts: int = HEAVY_PARTS,
+    base: DataFrame, other: DataFrame, key: str, hot: DataFrame, null_safe: bool = False, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
-    """Left outer many-to-many join on one key that stands hot and NULL keys.
-
-    ``other`` has no other column name in common with ``base``.  Frequent keys of
-    ``base``, NULL among them, are split by the adaptive skew join, which may cut
-    the left side of a left join.  Frequent keys of ``other`` cannot be cut that
-    way: those in ``heavy`` get an inner join on (key, part), where ``other`` is
-    dealt out over ``parts`` and the few base rows are repeated.  A heavy key
-    occurs in ``other``, so no base row of it goes unmatched.
+    """Left outer many-to-many join on one key that stands hot and NULL keys on either side.
+
+    ``other`` has no other column name in common with ``base``; ``hot`` has
+    ``(_key, m, n)``, the rows of hot keys in ``base`` and in ``other``.  The join is on (key, part).  A hot key's larger
+    side is dealt out over as many parts as it has multiples of ``heavy_rows``, and
+    the smaller side is repeated in each.  Base rows with a NULL key match nothing
+    and are spread.  A repeated base row meets its matches in some parts only, so
+    its copies without a match are dropped; a hot key occurs in ``other``, so no row
+    is lost.
     """
-    renamed = other.withColumnRenamed(key, "_other_key")
-    if null_safe:
-        return base.join(renamed, quoted(key).eqNullSafe(F.col("_other_key")), "left").drop("_other_key")
-    renamed = renamed.filter("_other_key is not null")
-    if not heavy:
-        return base.join(renamed, quoted(key) == F.col("_other_key"), "left").drop("_other_key")
-    is_heavy = F.coalesce(quoted(key).isin(*heavy), F.lit(False))
-    light = base.filter(~is_heavy).join(
-        renamed.filter(~F.col("_other_key").isin(*heavy)), quoted(key) == F.col("_other_key"), "left"
-    )
-    dealt = renamed.filter(F.col("_other_key").isin(*heavy)).withColumn(
-        # the input partition takes part so that copies of one row are dealt out too
-        "_part",
-        F.pmod(F.xxhash64(F.spark_partition_id(), *[quoted(c) for c in renamed.columns]), F.lit(parts)).cast("int"),
-    )
-    repeated = base.filter(is_heavy).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    hot = repeated.join(
-        dealt.withColumnRenamed("_part", "_other_part"),
-        (quoted(key) == F.col("_other_key")) & (F.col("_part") == F.col("_other_part")),
-        "inner",
-    ).drop("_part", "_other_part")
-    return light.unionByName(hot).drop("_other_key")
+    size = F.greatest("m", "n")
+    parts = F.ceil(size / heavy_rows).cast("int")
+    plan = hot.filter((F.col("n") > 0) & (size > heavy_rows)).select(
+        F.col(_KEY).alias("_hot"), parts.alias("_parts"), (F.col("m") >= F.col("n")).alias("_deal_base"))
+    any_part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(NULL_PARTS))).cast("int")
+    all_parts = F.sequence(F.lit(0), F.col("_parts") - 1)
+    deal_base = F.coalesce("_deal_base", F.lit(True))
+
+    left = base.join(plan, _same(quoted(key), F.col("_hot"), null_safe), "left")
+    spread = F.col("_parts").isNotNull() if null_safe else F.col("_parts").isNotNull() | quoted(key).isNull()
+    alone = F.when(spread, any_part).otherwise(0)
+    left = left.withColumn(_COPY, ~deal_base).withColumn(
+        _PART, F.explode(F.when(deal_base, F.array(alone)).otherwise(all_parts)))
+    left = left.drop("_hot", "_parts", "_deal_base")
+    right = other.withColumnRenamed(key, _OTHER)
+    right = right if null_safe else right.filter(F.col(_OTHER).isNotNull())
+    right = right.join(plan, _same(F.col(_OTHER), F.col("_hot"), null_safe), "left")
+    one = F.when(F.col("_parts").isNull(), 0).otherwise(any_part)
+    dealt = F.col("_parts").isNull() | ~deal_base
+    right = right.withColumn(_OTHER_PART, F.explode(F.when(dealt, F.array(one)).otherwise(all_parts)))
+    right = right.drop("_hot", "_parts", "_deal_base").withColumn(_FOUND, F.lit(True))
+    on = _same(quoted(key), F.col(_OTHER), null_safe) & (F.col(_PART) == F.col(_OTHER_PART))
+    joined = left.join(right, on, "left")
+    return joined.filter(~F.col(_COPY) | F.col(_FOUND).isNotNull()).drop(_PART, _OTHER_PART, _COPY, _FOUND, _OTHER)
 
 
 def merge_logs(
-    base: DataFrame,
-    logs: dict[str, DataFrame],
-    key: str = "uid",
-    null_safe: bool = False,
-    probe_heavy: bool = False,
+    base: DataFrame, logs: dict[str, DataFrame], key: str = "uid", null_safe: bool = False, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Left-join companion logs onto the connection log by ``key``.
 
     Columns that clash with what is already there get the suffix ``_{log}``.  One
     base row fans out to every matching log row.  A NULL key matches nothing unless
-    ``null_safe``.  ``probe_heavy`` looks for frequent keys in each log first.
+    ``null_safe``.  Keys are counted first; those with more than ``heavy_rows`` rows
+    on a side, fan-out included, are spread over tasks.
     """
+    if not logs:
+        return base
+    hot = hot_keys(base, list(logs.values()), key, null_safe, heavy_rows)
     merged = base
-    for name, log in logs.items():
+    for i, (name, log) in enumerate(logs.items()):
         taken = set(merged.columns) - {key}
         side = log.select(*[quoted(c).alias(f"{c}_{name}") if c in taken else quoted(c) for c in log.columns])
-        heavy = heavy_keys(side, key) if probe_heavy and not null_safe else None
-        merged = left_join_on(merged, side, key, null_safe, heavy)
+        of = hot.select(_KEY, F.col(f"m{i}").alias("m"), F.col(f"n{i}").alias("n"))
+        merged = left_join_on(merged, side, key, of, null_safe, heavy_rows)
     return merged
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_sentinels, quoted, strip, to_ts
+from ..scratch import materialize
 
 FIELDS = "#fields\t"
 
@@ -15,10 +16,15 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
-def zeek_fields(spark: SparkSession, path: str | list[str]) -> list[str] | None:
-    """Field names from the first ``#fields`` line, or None when the log has none."""
-    head = _lines(spark, path).filter(F.col("value").startswith(FIELDS)).first()
-    return head["value"].strip()[len(FIELDS):].split("\t") if head else None
+_FILE, _FIELDS_OF = "_file", "_fields"
+
+
+def zeek_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(_file, _fields)``: the field names in the first ``#fields`` line of every file that has one."""
+    head = _lines(spark, path).filter(F.col("value").startswith(FIELDS)).select(
+        F.col("_metadata.file_path").alias(_FILE), "value", F.monotonically_increasing_id().alias("at"))
+    names = F.split(F.substring(strip(F.col("first")), len(FIELDS) + 1, 1_000_000), "\t")
+    return head.groupBy(_FILE).agg(F.min_by("value", "at").alias("first")).select(_FILE, names.alias(_FIELDS_OF))
 
 
 def read_zeek_log(
@@ -26,20 +32,35 @@ def read_zeek_log(
 ) -> DataFrame:
     """All columns of a Zeek log as text; ``-`` and ``(empty)`` become NULL.
 
-    Lines starting with ``#`` and blank lines are skipped.  Without a header the
-    columns are ``{prefix}_0`` and so on, after the first data line.  Short rows are
-    padded with NULL.  A row with too many fields keeps its text in ``corrupt`` and
-    NULL elsewhere; ``corrupt=None`` leaves the extra fields out.
+    Lines starting with ``#`` and blank lines are skipped.  Every file is read by its
+    own header; columns that another file has are NULL, and come in the order in
+    which headers, sorted, name them.  Files without a header take the only header
+    there is, or have the columns ``{prefix}_0`` and so on, after the first data
+    line.  Short rows are padded with NULL.  A row with too many fields keeps its
+    text in ``corrupt`` and NULL elsewhere; ``corrupt=None`` leaves the extra fields
+    out.
     """
     data = _lines(spark, path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    names = zeek_fields(spark, path)
-    if names is None:
-        first = data.first()
+    headers = materialize(zeek_headers(spark, path), "headers")
+    kinds = sorted(r[0] for r in headers.select(_FIELDS_OF).distinct().collect())  # few, however many files
+    if len(kinds) > 1:
+        data = data.withColumn(_FILE, F.col("_metadata.file_path")).join(headers, _FILE, "left")
+    if len(kinds) != 1:
+        bare = data.filter(F.col(_FIELDS_OF).isNull()) if kinds else data
+        first = bare.first()
         width = len(first["value"].strip().split("\t")) if first else 0
-        names = [f"{prefix}_{i}" for i in range(width)]
-    parts = data.select("value", F.split(strip(F.col("value")), "\t").alias("_p"))
-    fits = F.size("_p") <= len(names)
-    cells = [F.get("_p", F.lit(i)) for i in range(len(names))]
+        generic = [f"{prefix}_{i}" for i in range(width)]
+        kinds = [*kinds, *([generic] if generic else [])]
+    names = list(dict.fromkeys(n for kind in kinds for n in kind))
+    parts = data.withColumn("_p", F.split(strip(F.col("value")), "\t"))
+    if len(kinds) > 1:
+        own = F.coalesce(F.col(_FIELDS_OF), F.array(*map(F.lit, generic)).cast("array<string>"))
+        places = [F.nullif(F.array_position(own, n), F.lit(0)) - 1 for n in names]
+        width_of = F.size(own)
+    else:
+        places, width_of = [F.lit(i) for i in range(len(names))], F.lit(len(names))
+    fits = F.size("_p") <= width_of
+    cells = [F.get("_p", place.cast("int")) for place in places]
     if corrupt:
         cells = [F.when(fits, c) for c in cells]
     out = [null_sentinels(c).alias(n) for n, c in zip(names, cells)]

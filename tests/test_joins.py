@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from flowlab.functions.labels import class_table
@@ -27,21 +28,44 @@ def test_null_keys_match_only_when_asked(spark):
     assert [tuple(r) for r in got] == [(None, 3, 12, "X")]
 
 
-def test_heavy_keys_give_the_same_rows(spark):
+def hot_tables(spark):
     base = spark.range(60).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("uid"),
         F.col("id").alias("row"),
     )
-    # many exact copies of a row of one key
-    other = spark.range(300).select(
-        F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("uid"),
+    # many exact copies of a row of one key, and NULL keys
+    http = spark.range(300).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 11 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("uid"),
         F.pmod("id", F.lit(4)).alias("x"),
     )
-    plain = joins.left_join_on(base, other, "uid")
-    salted = joins.left_join_on(base, other, "uid", heavy=["hot", "5"], parts=8)
+    dns = spark.range(12).select(F.when(F.col("id") < 6, "hot").otherwise(F.col("id").cast("string")).alias("uid"), F.col("id").alias("y"))
+    ssl = spark.range(5).select(F.lit("none of these").alias("uid"), F.col("id").alias("z"))
+    return base, {"http": http, "dns": dns, "ssl": ssl}
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+@pytest.mark.parametrize("heavy_rows", [1, 7, 40, 10**6])
+def test_hot_keys_give_the_same_rows(spark, null_safe, heavy_rows):
+    base, logs = hot_tables(spark)
+    plain = base
+    for name, log in logs.items():
+        other = log.withColumnRenamed("uid", f"_{name}")
+        on = plain["uid"].eqNullSafe(other[f"_{name}"]) if null_safe else plain["uid"] == other[f"_{name}"]
+        plain = plain.join(other, on, "left").drop(f"_{name}")
     key = lambda r: tuple((v is None, v) for v in r)
-    assert sorted(map(tuple, plain.collect()), key=key) == sorted(map(tuple, salted.collect()), key=key)
-    assert joins.heavy_keys(other, "uid", rows=100, probe=1.0) == ["hot"]
+    got = joins.merge_logs(base, logs, null_safe=null_safe, heavy_rows=heavy_rows)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_hot_keys_are_spread_and_the_base_is_scanned_once(spark, tmp_path):
+    base, logs = hot_tables(spark)
+    base.write.parquet(str(tmp_path / "base"))
+    stored = spark.read.parquet(str(tmp_path / "base"))
+    got = joins.merge_logs(stored, logs, heavy_rows=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [uid") + plan.count("Relation [row") <= 1 + plan.count("Relation [_key")
+    tally = {r["_key"]: r for r in joins.hot_keys(stored, list(logs.values()), "uid", False, 10).collect()}
+    assert set(tally) == {"hot"} and (tally["hot"]["m0"], tally["hot"]["n0"], tally["hot"]["m1"]) == (20, 150, 3000)
 
 
 def test_dictionary_joins(spark):
