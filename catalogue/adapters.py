@@ -109,6 +109,10 @@ select concat('C', cast(s_suppkey as varchar(20))) as uid, s_name as query, s_ac
 from supplier
 """
 
+SSL = """
+select concat('C', cast(n_nationkey as varchar(20))) as uid, n_name as server from nation
+"""
+
 
 def tables(spark: SparkSession, folder: str, *names: str) -> None:
     """Register the given Parquet tables as views."""

@@ -11,6 +11,7 @@ from flowlab.functions import labels as L
 from flowlab.functions import scalars as S
 from flowlab.functions.vectors import assemble
 from flowlab.operators import clean, encode, joins, learn, metrics, privacy, sample, windows
+from flowlab.plans.experiments import experiment_report
 from flowlab.plans.flow_tables import prepare_csv_flows, prepare_flows
 from flowlab.plans.merge import merge_scenarios
 from flowlab.plans.window_table import window_table
@@ -86,6 +87,10 @@ def line_key() -> list:
     return [F.expr(k) for k in LINE_KEY]
 
 
+CLASS_SQL = """case event_type when 'error' then 'DDoS' when 'signup' then 'PartOfAHorizontalPortScan'
+       else 'Benign' end"""
+
+
 # --- scans, sources, sinks -------------------------------------------------------
 
 
@@ -132,6 +137,25 @@ def q_zeek_scan(spark, folder):
     )
 
 
+@query(f"""
+with f as ({A.FLOWS})
+select case when event_id % 10 > 0 then uid end as uid, case when event_id % 10 > 0 then proto end as proto,
+  case when event_id % 10 > 0 and event_id % 2 = 1 then cast(event_id as varchar) end as event_id,
+  case when event_id % 10 = 0 then concat_ws(chr(9), uid, proto, 'too', 'many', 'fields') end as _corrupt from f
+""")
+def q_zeek_corrupt(spark, folder):
+    # two files with fields in different orders, and rows longer than their header
+    path, rows = scratch_path(spark, "zeek"), flows(spark, folder)
+    long = F.when(F.col("event_id") % 10 == 0, F.concat_ws("\t", "uid", "proto", F.lit("too"), F.lit("many"), F.lit("fields")))
+    odd = F.concat_ws("\t", F.col("event_id").cast("string"), "proto", "uid")
+    even = F.concat_ws("\t", "uid", "proto")
+    for head, line, rest in (("#fields\tevent_id\tproto\tuid", odd, 1), ("#fields\tuid\tproto", F.coalesce(long, even), 0)):
+        part = rows.filter(F.col("event_id") % 2 == rest).select(line.alias("value"))
+        head_row = spark.range(1).select(F.lit(head).alias("value"))
+        head_row.unionByName(part).coalesce(1).write.mode("append").text(path)
+    return zeek.read_zeek_log(spark, path)
+
+
 TELEMETRY_SQL = f"""
 with t as ({A.TELEMETRY})
 select condition, cast(run as int) as run, cast(server_round as int) as server_round, client_id,
@@ -196,6 +220,38 @@ def q_drop_incomplete(spark, folder):
     return clean.drop_incomplete(parsed(spark, folder), ["orig_bytes", "service"])
 
 
+@query(f"with f as ({A.CSV_FLOWS}) select l_orderkey, l_linenumber, label_raw as found from f")
+def q_find_label(spark, folder):
+    rows = csv_flows(spark, folder).withColumnRenamed("label_raw", "Label")
+    return rows.select("l_orderkey", "l_linenumber", F.col(clean.find_label_column(rows)).alias("found"))
+
+
+@query(f"""
+with d as (select distinct {CLASS_SQL} as label_str from events)
+select label_str, row_number() over (order by label_str <> 'Benign', label_str) - 1 as label from d
+""")
+def q_label_map(spark, folder):
+    rows = flows(spark, folder).select(L.parse_zeek_label(F.col("raw_label")).alias("label_str"))
+    path = scratch_path(spark, "label_map")
+    flow_io.write_label_map(encode.fit_label_encoder(rows, "label_str"), path)
+    return flow_io.read_label_map(spark, path).filter("map = 'str_to_int'").select(
+        F.col("key").alias("label_str"), F.col("value").cast("bigint").alias("label"))
+
+
+@query(f"with f as ({A.PARSED}) select event_id, orig_bytes, service from f where orig_bytes is not null or service is not null")
+def q_drop_empty(spark, folder):
+    rows = parsed(spark, folder).select("event_id", "orig_bytes", "service")
+    return clean.drop_incomplete(rows, ["orig_bytes", "service"], how="all")
+
+
+@query("select l_orderkey, l_linenumber, true as varies from lineitem")
+def q_assert_varying(spark, folder):
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("flat", F.lit(1))
+    kept, gone = clean.drop_constant_columns(rows)
+    clean.assert_varying(kept, kept.columns)
+    return kept.select("l_orderkey", "l_linenumber", F.lit(gone == ["flat"]).alias("varies"))
+
+
 PROFILED = ["user_id", "proto", "duration", "orig_bytes_raw", "local_orig", "service"]
 PROFILE_VIEW = f"select f.*, case when proto = 'view' then cast('up' as varchar(20)) end as service from ({A.FLOWS}) f"
 
@@ -230,15 +286,39 @@ def q_valid_payloads(spark, folder):
 # --- joins -----------------------------------------------------------------------
 
 
-@query(f"""
-with c as ({A.CONN}), h as ({A.HTTP}), d as ({A.DNS})
-select c.uid, host, c.duration, proto, method, h.duration as duration_http, query, d.duration as duration_dns
-from c left join h on c.uid = h.uid left join d on c.uid = d.uid
-""")
+LOGS_SQL = """
+with c as ({conn}), h as ({http}), d as ({dns}), s as ({ssl})
+select c.uid, host, c.duration, proto, method, h.duration as duration_http, query, d.duration as duration_dns, server
+from c left join h on c.uid {eq} h.uid left join d on c.uid {eq} d.uid left join s on c.uid {eq} s.uid
+"""
+# the same logs with a fifth of the connections on one id and some without any
+HOT = "case when {n} % 5 = 0 then 'C5' when {n} % 7 = 0 then null else concat('C', cast({n} as varchar(20))) end as uid"
+HOT_CONN = f"select {HOT.format(n='c_custkey')}, c_name as host, c_acctbal as duration, c_mktsegment as proto from customer"
+HOT_HTTP = f"select {HOT.format(n='o_orderkey')}, o_orderpriority as method, o_totalprice as duration from orders where o_orderkey <= 100"
+HOT_DNS = f"select {HOT.format(n='s_suppkey')}, s_name as query, s_acctbal as duration from supplier where s_suppkey <= 20"
+
+
+def _logs(spark, folder, conn, http, dns):
+    base = A.view(spark, folder, conn, "customer")
+    return base, {
+        "http": A.view(spark, folder, http, "orders"), "dns": A.view(spark, folder, dns, "supplier"),
+        "ssl": A.view(spark, folder, A.SSL, "nation"),
+    }
+
+
+@query(LOGS_SQL.format(conn=A.CONN, http=A.HTTP, dns=A.DNS, ssl=A.SSL, eq="="))
 def q_merge_logs(spark, folder):
-    base = A.view(spark, folder, A.CONN, "customer")
-    logs = {"http": A.view(spark, folder, A.HTTP, "orders"), "dns": A.view(spark, folder, A.DNS, "supplier")}
-    return joins.merge_logs(base, logs, probe_heavy=True)
+    return joins.merge_logs(*_logs(spark, folder, A.CONN, A.HTTP, A.DNS))
+
+
+@query(LOGS_SQL.format(conn=HOT_CONN, http=HOT_HTTP, dns=HOT_DNS, ssl=A.SSL, eq="="))
+def q_merge_hot_logs(spark, folder):
+    return joins.merge_logs(*_logs(spark, folder, HOT_CONN, HOT_HTTP, HOT_DNS), heavy_rows=20)
+
+
+@query(LOGS_SQL.format(conn=HOT_CONN, http=HOT_HTTP, dns=HOT_DNS, ssl=A.SSL, eq="is not distinct from"))
+def q_merge_null_keys(spark, folder):
+    return joins.merge_logs(*_logs(spark, folder, HOT_CONN, HOT_HTTP, HOT_DNS), null_safe=True, heavy_rows=20)
 
 
 COARSE_ROWS = f"""
@@ -289,6 +369,17 @@ def q_dense_windows(spark, folder):
     return rounded(windows.densify_windows(table, "5 minutes", counts=["packet_count"]), 6, "duration_mean")
 
 
+@query(f"""
+with f as ({A.PARSED}),
+w as (select time_bucket(interval '7 minutes', ts, timestamp '1970-01-01') as window_start, count(*) as packet_count from f group by 1),
+d as (select unnest(generate_series(min(window_start), max(window_start), interval '7 minutes')) as window_start from w)
+select d.window_start, coalesce(packet_count, 0) as packet_count from d left join w on d.window_start = w.window_start
+""")
+def q_dense_windows_uneven(spark, folder):
+    table = windows.window_features(parsed(spark, folder), "7 minutes", uid="uid").select("window_start", "packet_count")
+    return windows.densify_windows(table, "7 minutes", counts=["packet_count"])
+
+
 @query(f"""
 with t as ({A.TELEMETRY}), c as (select distinct condition from t),
 p as (select condition, cast(unnest(range(1, 8)) as int) as run from c),
@@ -303,10 +394,6 @@ def q_missing_sessions(spark, folder):
 
 # --- aggregates ------------------------------------------------------------------
 
-CLASS_SQL = """case event_type when 'error' then 'DDoS' when 'signup' then 'PartOfAHorizontalPortScan'
-       else 'Benign' end"""
-
-
 @query(f"""
 select {CLASS_SQL} as label_str, count(*) as "rows",
   round(count(*) * 100.0::double / (select count(*) from events), 6) as percent
@@ -436,6 +523,16 @@ def q_experiment_summary(spark, folder):
     return rounded(metrics.summarise_experiments(telemetry_text(spark, folder)), 6, "mean", "std")
 
 
+@query(SUMMARY_SQL)
+def q_experiment_report(spark, folder):
+    # from one CSV file per condition
+    rows, paths = telemetry_text(spark, folder), []
+    for condition in ("A_baseline", "B_pqc_only", "C_pqc_dp"):
+        paths.append(scratch_path(spark, "runs"))
+        tele.append_telemetry(rows.filter(F.col("condition") == condition), paths[-1], "csv")
+    return rounded(experiment_report(spark, paths).summary, 6, "mean", "std")
+
+
 @query(f"""
 with t as ({TELEMETRY_SQL}),
 s as (select condition, server_round, avg(global_accuracy) as mean, coalesce(stddev_samp(global_accuracy), 0) as std
@@ -1005,23 +1102,53 @@ def q_baseline_scores(spark, folder):
 
 
 @query(f"""
-with f as ({A.PARSED}),
-w as (select {BUCKET}, min(duration) as duration_min, max(duration) as duration_max, round(avg(duration), 6) as duration_mean,
-  count(*) as packet_count, max(case when label <> 'Benign' then 1 else 0 end) as label from f group by 1)
-select * from w where window_start + interval '5 minutes' <= (select date_trunc('milliseconds', max(ts)) - interval '10 minutes' from f)
+with f as ({A.PARSED})
+select {BUCKET}, min(duration) as duration_min, max(duration) as duration_max, round(avg(duration), 6) as duration_mean,
+  count(*) as packet_count, max(case when label <> 'Benign' then 1 else 0 end) as label, true as flow_count_near
+from f group by 1
 """)
 def q_stream_windows(spark, folder):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     batch = spark.read.parquet(f"{folder}/events.parquet")
     source = streams.stream_files(spark, folder, batch.schema, pattern="events.parquet")
     rows = source.select(
-        "ts", F.col("value").alias("duration"), F.col("event_type").isin("error", "signup").alias("attack")
+        "ts", F.col("value").alias("duration"), F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("uid"),
+        F.col("event_type").isin("error", "signup").alias("attack"),
     )
     out = streams.stream_window_features(
-        rows, "5 minutes", "10 minutes", ["duration"], extra=[windows.any_attack(F.col("attack")).alias("label")]
+        rows, "5 minutes", "10 minutes", ["duration"], uid="uid", extra=[windows.any_attack(F.col("attack")).alias("label")]
     )
-    done = streams.run_to_table(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return rounded(done, 6, "duration_mean")
+    done = streams.run_to_end(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # a stream counts flows approximately: within one or a tenth of the exact number
+    exact = windows.window_features(parsed(spark, folder), "5 minutes", uid="uid").select(
+        "window_start", F.col("flow_count").alias("exact"))
+    near = F.abs(F.col("flow_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") / 10)
+    return rounded(done.join(exact, "window_start").withColumn("flow_count_near", near).drop("flow_count", "exact"), 6, "duration_mean")
+
+
+KEYED = f"""
+select condition, run, server_round, client_id, eval_client_id, count(*) as n from ({A.TELEMETRY}) group by 1, 2, 3, 4, 5
+"""
+
+
+@query(f"""
+select condition, cast(run as int) as run, cast(server_round as int) as server_round, client_id,
+  nullif(eval_client_id, '') as eval_client_id,
+  cast(n + case when cast(server_round as int) % 2 = 0 then 1000 else 0 end as double) as global_accuracy
+from ({KEYED})
+""")
+def q_stream_dedup(spark, folder):
+    # rows of even rounds come again, in a later batch and with another value
+    feed, table, progress = (scratch_path(spark, n) for n in ("feed", "table", "progress"))
+    rows = A.view(spark, folder, KEYED, "events").withColumn("global_accuracy", F.col("n").cast("string")).withColumn(
+        "eval_client_id", F.nullif("eval_client_id", F.lit("")))
+    again = rows.filter(F.col("server_round").cast("int") % 2 == 0).withColumn(
+        "global_accuracy", (F.col("n") + 1000).cast("string"))
+    for part in (rows, again):
+        part.drop("n").write.mode("append").parquet(feed)
+        streams.append_telemetry_stream(streams.stream_files(spark, feed, tele.TEXT_SCHEMA), table, progress)
+    return streams.read_telemetry_table(spark, table).select(
+        "condition", "run", "server_round", "client_id", "eval_client_id", "global_accuracy")
 
 
 @query(f"""
@@ -1119,7 +1246,24 @@ def q_merge_scenarios(spark, folder):
         "two": (write_log(conn.filter(~first), fields), {"http": missing}),
         "three": (missing, {"http": http}),
     })
-    return merged.drop("ts").withColumn("duration", F.col("duration").cast("double"))
+    return merged.drop("ts", "_corrupt").withColumn("duration", F.col("duration").cast("double"))
+
+
+@query(f"""
+with f as ({A.PARSED})
+select {BUCKET}, min(duration) as duration_min, max(duration) as duration_max, round(avg(duration), 6) as duration_mean,
+  count(distinct uid) as flow_count, count(*) as packet_count,
+  (array_agg(service order by ts, event_id) filter (where service is not null))[1] as service_first,
+  (array_agg(service order by ts desc, event_id desc) filter (where service is not null))[1] as service_last,
+  count(distinct service) as service_nunique,
+  coalesce(arg_min(label, row(ts, event_id)) filter (where label <> 'Benign'), 'Benign') as label
+from f group by 1
+""")
+def q_window_table_first_attack(spark, folder):
+    table = window_table(
+        parsed(spark, folder), "5 minutes", numbers=["duration"], edges=["service"], rule="first_attack", order=["ts", "event_id"],
+    )
+    return rounded(table, 6, "duration_mean")
 
 
 @query(f"""

@@ -9,10 +9,14 @@ is shuffled without any hint from us.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list[list[str]] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables; a temporary one only in local mode."""
@@ -31,7 +35,29 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove all scratch tables made inside, once their results have been written.
+
+        with scratch_scope(spark):
+            prepare_flows(...).table.write.parquet(out)
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

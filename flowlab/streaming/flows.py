@@ -53,7 +53,8 @@ def stream_window_features(
 def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all input there is, append final rows to a table, return the table.
 
-    With the same ``path`` and ``checkpoint`` a later call goes on where this ended.
+    With the same ``path`` and ``checkpoint`` a later call goes on where this ended;
+    windows that may still get rows wait until then.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "stream")
@@ -67,6 +68,32 @@ def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | N
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregating stream over input that has an end, and return all its groups.
+
+    No group waits for rows that will not come.  Every micro-batch writes the whole
+    result beside the last one, so a batch that is run again replaces itself.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
+    last: list[int] = []
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last[:] = [batch_id]
+
+    query = (
+        stream.writeStream.foreachBatch(sink).outputMode("complete")
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}")
+
+
 def append_telemetry_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append telemetry from a stream, each micro-batch to its own partition.
 
@@ -82,8 +109,16 @@ def append_telemetry_stream(stream: DataFrame, path: str, checkpoint: str) -> No
 
 
 def read_telemetry_table(spark: SparkSession, path: str) -> DataFrame:
-    """The streamed telemetry, one row per key even when a source sent it twice."""
-    return to_telemetry(spark.read.parquet(path)).dropDuplicates(list(TELEMETRY_KEY))
+    """The streamed telemetry, one row per key: of copies the one from the newest batch.
+
+    Copies that differ within a batch give the one whose values are largest, column
+    by column, so the choice does not depend on how rows arrive.
+    """
+    rows = spark.read.parquet(path)
+    cells = to_telemetry(rows).columns
+    newest = F.max(F.struct(F.col("batch"), *[c for c in cells if c not in TELEMETRY_KEY])).alias("row")
+    kept = rows.groupBy(*TELEMETRY_KEY).agg(newest)
+    return to_telemetry(kept.select(*TELEMETRY_KEY, "row.*"))
 
 
 def latest_round(telemetry: DataFrame) -> DataFrame:

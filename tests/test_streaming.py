@@ -21,8 +21,10 @@ def test_telemetry_stream_goes_on_where_it_stopped(spark, tmp_path):
 
     log(1, 0.5)
     assert run().count() == 1
+    log(2, 0.7)
+    run()
     log(2, 0.6)
-    log(2, 0.6)
+    log(2, 0.5)
     both = run()
     assert both.columns == list(TELEMETRY) and both.count() == 2
     assert run().count() == 2

@@ -133,3 +133,14 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     stamped = got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     pick = lambda df: sorted(map(tuple, df.select("window_start", *cols).collect()))
     assert pick(stamped) == pick(batch)
+
+
+def test_stream_with_an_end_gives_all_windows(spark, rows, tmp_path):
+    source = str(tmp_path / "in")
+    rows.repartition(3).write.parquet(source)
+    feed = streams.stream_files(spark, source, rows.schema)
+    stream = streams.stream_window_features(feed, "5 seconds", "0 seconds", ["duration"], uid="uid")
+    got = streams.run_to_end(stream).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    batch = windows.window_features(rows, "5 seconds", ["duration"], uid="uid")
+    pick = lambda df: sorted(map(tuple, df.select(*batch.columns).collect()))
+    assert pick(got) == pick(batch)
