@@ -234,8 +234,7 @@ def q_label_map(spark, folder):
     rows = flows(spark, folder).select(L.parse_zeek_label(F.col("raw_label")).alias("label_str"))
     path = scratch_path(spark, "label_map")
     flow_io.write_label_map(encode.fit_label_encoder(rows, "label_str"), path)
-    return flow_io.read_label_map(spark, path).filter("map = 'str_to_int'").select(
-        F.col("key").alias("label_str"), F.col("value").cast("bigint").alias("label"))
+    return flow_io.read_label_map(spark, path)
 
 
 @query(f"with f as ({A.PARSED}) select event_id, orig_bytes, service from f where orig_bytes is not null or service is not null")
@@ -776,7 +775,7 @@ def q_batches(spark, folder):
 
 # --- scalar functions ------------------------------------------------------------
 
-# raw label, parsed label
+# fixed values: forms of raw labels, and what they stand for
 LABEL_CASES = [
     ("(empty)   Malicious   PartOfAHorizontalPortScan", "PartOfAHorizontalPortScan"),
     ("(empty)\tBenign\t-", "Benign"),

@@ -73,8 +73,3 @@ def below_fraction(hashed: Column, fraction: float) -> Column:
     if fraction >= 1.0:
         return F.lit(True)
     return F.substring(hashed, 1, 8) < F.lit(f"{int(fraction * 16**8):08x}")
-
-
-def elapsed_ms(start_ns: Column, end_ns: Column) -> Column:
-    """Nanosecond clock readings to elapsed milliseconds."""
-    return (end_ns - start_ns) / F.lit(1e6)
