@@ -87,11 +87,6 @@ def weighted_metrics(
     )
 
 
-def _unpivot(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), to_num(quoted(m)).alias("value")) for m in metrics])
-    return df.select(*keys, F.inline(cells)).filter("value is not null")
-
-
 def summarise_experiments(telemetry: DataFrame, include_aggregate: bool = False) -> DataFrame:
     """``(condition, metric, n, mean, std)`` over the rounds and runs of an experiment.
 
@@ -99,30 +94,37 @@ def summarise_experiments(telemetry: DataFrame, include_aggregate: bool = False)
     are taken from the last round of each run that has them, and an epsilon below
     0 (protection off) is left out.  ``eval_accuracy`` averages client rows only,
     unless ``include_aggregate``.
+
+    Rows are reduced where they are read, by hash aggregates over fixed-width
+    numbers; only the few rows of conditions and rounds are unpivoted.
     """
-    rounds = telemetry.withColumn("server_round", F.col("server_round").try_cast("int")).filter(
-        "server_round is not null"
-    )
-    if include_aggregate:
-        per_round = _unpivot(rounds, ["condition"], ROUND_METRICS)
-    else:
-        clients = F.coalesce(F.col("eval_client_id") != AGGREGATE, F.lit(True))
-        hidden = rounds.withColumn("eval_accuracy", F.when(clients, F.col("eval_accuracy")))
-        per_round = _unpivot(hidden, ["condition"], ROUND_METRICS)
+    client = F.coalesce(F.col("eval_client_id") != AGGREGATE, F.lit(True))
+    rows = telemetry.select(
+        "condition", "run", F.col("server_round").try_cast("int").alias("server_round"),
+        *[to_num(quoted(m)).alias(m) for m in (*ROUND_METRICS, *FINAL_METRICS) if m != "eval_accuracy"],
+        (to_num(quoted("eval_accuracy")) if include_aggregate
+         else F.when(client, to_num(quoted("eval_accuracy")))).alias("eval_accuracy"),
+    ).filter("server_round is not null")
+
+    def unpivoted(df: DataFrame, metrics: Sequence[str], parts: Sequence[str], keys: Sequence[str]) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{p}").alias(p) for p in parts]) for m in metrics]
+        return df.select(*keys, F.inline(F.array(*cells)))
+
+    stats = rows.groupBy("condition").agg(*[
+        f(m).alias(f"{m}_{part}") for m in ROUND_METRICS
+        for part, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))
+    ])
+    per_round = unpivoted(stats, ROUND_METRICS, ["n", "mean", "std"], ["condition"]).filter("n > 0")
+    largest = rows.groupBy("condition", "run", "server_round").agg(*[F.max(m).alias(f"{m}_value") for m in FINAL_METRICS])
     final = (
-        _unpivot(rounds, ["condition", "run", "server_round"], FINAL_METRICS)
-        .groupBy("condition", "run", "metric", "server_round")
-        .agg(F.max("value").alias("value"))
+        unpivoted(largest, FINAL_METRICS, ["value"], ["condition", "run", "server_round"]).filter("value is not null")
         .groupBy("condition", "run", "metric")
         .agg(F.max_by("value", "server_round").alias("value"))
         .filter("metric <> 'epsilon_consumed' or value >= 0")
-        .select("condition", "metric", "value")
-    )
-    return (
-        per_round.unionByName(final)
         .groupBy("condition", "metric")
         .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     )
+    return per_round.unionByName(final)
 
 
 def convergence(telemetry: DataFrame) -> DataFrame:
