@@ -522,6 +522,12 @@ def q_experiment_summary(spark, folder):
     return rounded(metrics.summarise_experiments(telemetry_text(spark, folder)), 6, "mean", "std")
 
 
+@query(SUMMARY_SQL.replace("""
+    where eval_client_id is null or eval_client_id <> 'aggregate'""", ""))
+def q_summary_with_joint_rows(spark, folder):
+    return rounded(metrics.summarise_experiments(telemetry_text(spark, folder), include_aggregate=True), 6, "mean", "std")
+
+
 @query(SUMMARY_SQL)
 def q_experiment_report(spark, folder):
     # from one CSV file per condition
@@ -1213,6 +1219,46 @@ def q_prepare_csv_flows(spark, folder):
     return rounded(made.table.drop("row_key"), 3, *made.features)
 
 
+@query(f"""
+with m as (select f.*, coarse from ({A.CSV_FLOWS}) f join {COARSE_SQL} on upper(trim(label_raw)) = fine),
+r as (select *, row_number() over (partition by coarse order by {LINE_HASH}) as rn from m),
+s as (select *, concat_ws(':', {", ".join(LINE_KEY)}) as row_key from r where rn <= 2000)
+select l_orderkey, l_partkey, l_suppkey, row_number() over (order by {md5_sql("row_key")}) - 1 as row,
+  cast(case coarse when 'Benign' then 0 when 'DDoS' then 1 when 'Recon' then 2 else 3 end as bigint) as label
+from s
+""")
+def q_training_table(spark, folder):
+    # the whole flow: balanced table in random order, its label map beside it, both read back
+    rows = csv_flows(spark, folder).select(
+        "l_orderkey", "l_partkey", "l_suppkey", *CSV_FEATURES, "label_raw", F.concat_ws(":", *line_key()).alias("row_key"),
+    )
+    made = prepare_csv_flows(
+        rows, ["row_key"], "label_raw", target=2000, minimum=500, keep=["l_orderkey", "l_partkey", "l_suppkey", "row_key"]
+    )
+    table, labels = scratch_path(spark, "table"), scratch_path(spark, "label_map")
+    flow_io.write_table(sample.shuffle_rows(made.table, ["row_key"], index="row"), table)
+    flow_io.write_label_map(made.labels, labels)
+    known = flow_io.read_label_map(spark, labels).select("label")
+    return flow_io.read_flows(spark, table).join(known, "label").select("l_orderkey", "l_partkey", "l_suppkey", "row", "label")
+
+
+@query(f"""
+with f as (select event_id, proto, orig_bytes_raw, {CLASS_SQL} as label_str
+  from ({A.FLOWS}) join (select event_id as e, event_type from events) on event_id = e),
+d as (select *, dense_rank() over (order by proto) - 1 as proto_code, dense_rank() over (order by orig_bytes_raw) - 1 as bytes_code from f),
+r as (select *, row_number() over (partition by label_str order by {EVENT_HASH}) as rn from d)
+select event_id, cast(proto_code as double) as proto, cast(bytes_code as double) as orig_bytes,
+  cast(case label_str when 'Benign' then 0 when 'DDoS' then 1 else 2 end as bigint) as label
+from r where rn <= 1000
+""")
+def q_prepare_flows_codes(spark, folder):
+    rows = flows(spark, folder).withColumnRenamed("orig_bytes_raw", "orig_bytes").select(
+        "event_id", "proto", "orig_bytes", "raw_label")
+    made = prepare_flows(rows, ["event_id"], label="raw_label", target=1000, minimum=200, numeric_strings="codes",
+                         exclude=["event_id"], keep=["event_id"])
+    return rounded(made.table, 3, *made.features)
+
+
 SCENARIO_SQL = f"""
 with c as (select uid, host, cast(duration as varchar) as duration, proto, cast('Benign' as varchar) as label from ({A.CONN})),
 h as ({A.HTTP}),
