@@ -26,6 +26,7 @@ LONGEST_GRAM = 3
 SAMPLE_ROWS = 400
 CENTROIDS = 3
 MAX_LANGUAGES = 1_000
+PARTS = 16
 UNKNOWN = "und"
 
 
@@ -165,11 +166,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     for r in seen:
         if r["feature"] >= 0:
             idf[r["feature"]] = np.log((1 + total) / (1 + r["rows"])) + 1
-    place = Window.partitionBy("lang").orderBy("place")
     texts = rows.withColumn("place", F.xxhash64("text"))
+    # the lowest hashes of each part of a language first, then of the language
+    part, whole = (Window.partitionBy("lang", *p).orderBy("place") for p in (["part"], []))
     bars = (
-        texts.select("lang", "place").distinct()
-        .withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= sample_rows)
+        texts.select("lang", "place").distinct().withColumn("part", F.pmod("place", F.lit(PARTS)))
+        .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= sample_rows)
+        .withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= sample_rows)
         .groupBy("lang").agg(F.max("place").alias("bar"))
     )
     under = texts.join(materialize(bars, "language_bars"), "lang").where("place <= bar")
