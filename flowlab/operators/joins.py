@@ -47,9 +47,11 @@ def left_join_on(
     """Left outer many-to-many join on one key that stands hot and NULL keys on either side.
 
     ``other`` has no other column name in common with ``base``; ``hot`` has
-    ``(_key, m, n)``, the rows of hot keys in ``base`` and in ``other``.  The join is on (key, part).  A hot key's larger
-    side is dealt out over as many parts as it has multiples of ``heavy_rows``, and
-    the smaller side is repeated in each.  Base rows with a NULL key match nothing
+    ``(_key, m, n)``, the rows of hot keys in ``base`` and in ``other``.  The join is
+    on (key, part).  A hot key's larger side is dealt out over as many parts as it
+    has multiples of ``heavy_rows``, and the smaller side is repeated in each.  A
+    row's part follows from its content and its input partition, so a task that runs
+    again deals alike, and copies of one row are spread too.  Base rows with a NULL key match nothing
     and are spread.  A repeated base row meets its matches in some parts only, so
     its copies without a match are dropped; a hot key occurs in ``other``, so no row
     is lost.
@@ -58,20 +60,24 @@ def left_join_on(
     parts = F.ceil(size / heavy_rows).cast("int")
     plan = hot.filter((F.col("n") > 0) & (size > heavy_rows)).select(
         F.col(_KEY).alias("_hot"), parts.alias("_parts"), (F.col("m") >= F.col("n")).alias("_deal_base"))
-    any_part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(NULL_PARTS))).cast("int")
+
+    def any_part(columns: list[str]) -> Column:
+        dealt = F.xxhash64(F.spark_partition_id(), *[quoted(c) for c in columns])
+        return F.pmod(dealt, F.coalesce("_parts", F.lit(NULL_PARTS))).cast("int")
+
     all_parts = F.sequence(F.lit(0), F.col("_parts") - 1)
     deal_base = F.coalesce("_deal_base", F.lit(True))
 
     left = base.join(plan, _same(quoted(key), F.col("_hot"), null_safe), "left")
     spread = F.col("_parts").isNotNull() if null_safe else F.col("_parts").isNotNull() | quoted(key).isNull()
-    alone = F.when(spread, any_part).otherwise(0)
+    alone = F.when(spread, any_part(base.columns)).otherwise(0)
     left = left.withColumn(_COPY, ~deal_base).withColumn(
         _PART, F.explode(F.when(deal_base, F.array(alone)).otherwise(all_parts)))
     left = left.drop("_hot", "_parts", "_deal_base")
     right = other.withColumnRenamed(key, _OTHER)
     right = right if null_safe else right.filter(F.col(_OTHER).isNotNull())
     right = right.join(plan, _same(F.col(_OTHER), F.col("_hot"), null_safe), "left")
-    one = F.when(F.col("_parts").isNull(), 0).otherwise(any_part)
+    one = F.when(F.col("_parts").isNull(), 0).otherwise(any_part([_OTHER, *[c for c in other.columns if c != key]]))
     dealt = F.col("_parts").isNull() | ~deal_base
     right = right.withColumn(_OTHER_PART, F.explode(F.when(dealt, F.array(one)).otherwise(all_parts)))
     right = right.drop("_hot", "_parts", "_deal_base").withColumn(_FOUND, F.lit(True))
