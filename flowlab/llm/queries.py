@@ -122,6 +122,25 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLES["op5_near_duplicates"] = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+s as materialized (
+  select distinct r, array_to_string(ws[i:i + 4], ' ') as g from (
+    select r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as materialized (select r, count(*) as n from s group by r),
+c as (select a.r as a, b.r as b, count(*) as common from s a join s b on a.g = b.g and a.r < b.r group by 1, 2),
+links as materialized (
+  select a, b from c join n x on a = x.r join n y on b = y.r where 100 * common >= 85 * (x.n + y.n - common)),
+ways as materialized (select a, b from links union all select b, a from links),
+reach as (select r as a, r as b from d union select reach.a, ways.b from reach join ways on reach.b = ways.a),
+least as (select reach.a as r, min(d.doc_id) as component_id from reach join d on reach.b = d.r group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n on d.r = n.r join least on d.r = least.r
+"""
+
+
 @register
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written as archives, read back and assembled to captures."""
