@@ -36,7 +36,8 @@ HEAD_WORDS = 1 << 19
 _ALPHABET = 252  # bytes that can occur: words hold no white space, space and end sign stand between
 _END = 0x0A
 _END_WORD = np.uint64(0x656E6421)
-_FLUSH = 2_000_000
+_MOST_KEYS = 2_000_000
+_BLOCK_BYTES = 1 << 20
 _WORD, _GRAM = 0, 1
 
 
@@ -68,21 +69,27 @@ def packed(symbols: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
 
 
 class _Counter:
-    """Sums of counts by key, in arrays."""
+    """Sums of counts by key, in arrays that are merged when they get long."""
 
     def __init__(self, kind: int):
-        self.kind, self.keys, self.counts, self.held = kind, [], [], 0
+        self.kind, self.parts, self.held = kind, [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        found, counts = np.unique(keys, return_counts=True)
-        self.keys.append(found)
-        self.counts.append(counts)
-        self.held += len(found)
+    def add(self, keys: np.ndarray) -> bool:
+        """Counts keys; true when the sums should be handed on."""
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.held += len(self.parts[-1][0])
+        if self.held > _MOST_KEYS:
+            self.parts = [self._merged()]
+            self.held = len(self.parts[0][0])
+        return self.held > _MOST_KEYS // 2 and len(self.parts) == 1
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([n for _, n in self.parts])).astype(np.int64)
 
     def rows(self) -> pa.RecordBatch:
-        keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(where, np.concatenate(self.counts)).astype(np.int64)
-        self.keys, self.counts, self.held = [], [], 0
+        keys, counts = self._merged()
+        self.parts, self.held = [], 0
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(keys), self.kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)],
             names=["kind", "key", "n"])
@@ -92,13 +99,13 @@ def _counts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = (_Counter(_WORD), _Counter(_GRAM))
         for batch in batches:
-            for _, texts in blocks(batch.column("text").to_pylist()):
+            for _, texts in blocks(batch.column("text").to_pylist(), _BLOCK_BYTES):
                 words = Words(texts, SPACED)
                 symbols, begins = stream(words, depth)
-                counters[0].add(np.concatenate([words.hashes, np.full(len(texts), _END_WORD)]))
-                counters[1].add(packed(symbols, own_places(symbols, begins, depth), depth))
-                for counter in counters:
-                    if counter.held > _FLUSH:
+                keys = (np.concatenate([words.hashes, np.full(len(texts), _END_WORD)]),
+                        packed(symbols, own_places(symbols, begins, depth), depth))
+                for counter, own in zip(counters, keys):
+                    if counter.add(own):
                         yield counter.rows()
         for counter in counters:
             if counter.held:
@@ -210,7 +217,7 @@ def _scores(shared, depth: int):
         head_logs = np.log10(head_counts + 0.5)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, texts in blocks(batch.column("text").to_pylist()):
+            for first, texts in blocks(batch.column("text").to_pylist(), _BLOCK_BYTES):
                 words = Words(texts, SPACED)
                 doc = np.repeat(np.arange(len(texts)), words.counts)
                 place = np.searchsorted(head_keys, words.hashes)
