@@ -8,11 +8,12 @@ place can improve.
 
 Documents with equal sets form one class, and all further work is on classes.
 Classes that share a band of the signature are candidates; candidates joined
-through shared bands form a cell.  The full sets of a cell meet in one task,
-which counts the intersections of all its pairs and unites linked classes.  A
-cell too large for a task is taken apart by bucket, and a bucket too large by
-pairs of blocks, so that every candidate pair still meets in some task.  Tasks
-emit spanning links only; components of these links are the groups.
+through shared bands form a cell.  The full sets of a cell meet in a task, which
+counts the intersections of all its pairs and unites linked classes; a cell of
+several blocks has a task for every pair of blocks.  A cell too large to compare
+as a whole is taken apart by bucket, so that every candidate pair still meets in
+some task.  Tasks emit spanning links only; components of these links are the
+groups.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MISS = 1e-6
 PLACES = 180
 CELL_SHINGLES = 400_000
 CELL_CLASSES = 4_000
+TASK_SHINGLES = 100_000
+TASK_CLASSES = 1_000
 
 
 def band_shape(share: float, miss: float = MISS, places: int = PLACES) -> tuple[int, int]:
@@ -205,12 +208,12 @@ def _spanning(part: int, whole: int):
 def _tasks(members: DataFrame) -> DataFrame:
     """Rows (task key, side, class) from rows (cell, class, n) so that all pairs of a cell meet.
 
-    A cell above the size of a task is dealt into blocks by hash; each pair of
+    A cell above the size of a block is dealt into blocks by hash; each pair of
     blocks is a task, and a block also meets itself.
     """
     size = materialize(members.groupBy("cell").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where(
         "classes > 1").select("cell", F.greatest(
-            F.ceil(F.col("total") / CELL_SHINGLES), F.ceil(F.col("classes") / CELL_CLASSES)).cast("int").alias("blocks")), "cells")
+            F.ceil(F.col("total") / TASK_SHINGLES), F.ceil(F.col("classes") / TASK_CLASSES)).cast("int").alias("blocks")), "cells")
     dealt = members.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("class", "cell"), F.col("blocks")).cast("int"))
     return dealt.select(
         "cell", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(

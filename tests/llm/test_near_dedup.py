@@ -63,11 +63,12 @@ def test_against_all_pairs(spark, cell):
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     import flowlab.llm.near_dedup as module
 
-    monkeypatch.setattr(module, "CELL_CLASSES", 4)
-    monkeypatch.setattr(module, "CELL_SHINGLES", 500)
+    monkeypatch.setattr(module, "TASK_CLASSES", 4)
+    monkeypatch.setattr(module, "TASK_SHINGLES", 500)
     rows = texts()
-    made = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, cell_shingles=200).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made), key=repr) == brute(rows, 80, 100)
+    for cell in (200, 400_000):  # by bucket, and as whole cells
+        made = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, cell_shingles=cell).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made), key=repr) == brute(rows, 80, 100)
 
 
 def test_empty_table(spark):
