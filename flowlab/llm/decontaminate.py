@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.words import ALNUM, Words, blocks, mix, run_rows
+from flowlab.llm.words import ALNUM, Words, blocks, mix, run_rows, small_batches
 from flowlab.scratch import materialize
 
 WINDOW = 13
@@ -195,6 +195,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     The windows are held ``block_windows`` at a time; more make further passes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shown = docs.columns if carry is None else carry
     found = docs.select(
         F.struct(*(docs[c] for c in shown)).alias("doc"), docs[text].cast("string").alias("text"),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.words import mix
+from flowlab.llm.words import mix, small_batches
 from flowlab.scratch import materialize
 
 FEATURE_BITS = 13
@@ -157,6 +157,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     texts down to ``reject_share`` times the cosine that 99 of 100 sampled texts reach.
     Without labelled rows the model knows no language.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(
         "text is not null and lang is not null")
     seen = rows.select("text").mapInArrow(_presence, "feature long, rows long").groupBy("feature").agg(
@@ -199,6 +200,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     ``accepted`` (a model without languages accepts all that has letters).  A null or empty text has no letters; of equally near languages
     the first by name is taken; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.llm.graph import connected_components
-from flowlab.llm.words import SPACED, Words, blocks, mix, shingle_set
+from flowlab.llm.words import SPACED, Words, blocks, mix, shingle_set, small_batches
 from flowlab.scratch import materialize
 
 SHINGLE = 5
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, part: int = 80, whole: int = 100, shingle:
     is never the smallest unless all of its group are null; repeated rows fall in
     one group; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     bands, rows = band_shape(part / whole)
     names = [f"band{k}" for k in range(bands)]
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.md5(F.col(text).cast("string")).alias("text_key"),

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.llm.tokens import encoder
+from flowlab.llm.words import small_batches
 from flowlab.scratch import materialize
 
 CAPACITY = 2048
@@ -202,6 +203,7 @@ def pack_sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, k
     the two files of the vocabulary.
     """
     spark, paths = docs.sparkSession, (tokenizer, ranks)
+    small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     pieces = materialize(source.mapInArrow(_piece_rows(capacity, end_id, paths), _PIECES), "pieces")
     by_task = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("number")), "piece_counts")

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 4 << 20
+TEXT_ROWS = 1_000
 _CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _ONES = (1 << 64) - 1
@@ -24,6 +26,11 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python ``TEXT_ROWS`` rows at a time, so a batch of long rows stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 def blocks(texts: list[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Slices of encoded texts of about ``limit`` bytes, with the index of their first text."""
     first, size, held = 0, 0, []
