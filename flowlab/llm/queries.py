@@ -11,6 +11,7 @@ from flowlab.llm.ann import nearest_vectors
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
 from flowlab.llm.licenses import FILE, HEADER, STOP, TEMPLATES, WORD, Weights, scan_licenses
+from flowlab.llm.lexical_search import search
 from flowlab.llm.lm_score import score_texts
 from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
@@ -281,3 +282,34 @@ from own left join ruled on own.r = ruled.r left join nodes on own.node = nodes.
 def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest rows of every twentieth embedding."""
     return nearest_vectors(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item, by bit-sliced signatures and exact rescoring."""
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op13_lexical_search"] = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as terms from documents),
+dn as (select r, doc_id, cast(len(terms) as bigint) as n from d where len(terms) > 0),
+stats as (select count(*) as big_n, sum(n)::bigint as big_l from dn),
+dt as (select r, term, count(*) as tf from (select r, unnest(terms) as term from d) group by r, term),
+q as (select item_id, term, count(*) as cnt from (select item_id, unnest({_TERMS}) as term from benchmark)
+      group by item_id, term),
+df as (select term, count(*) as df from dt where term in (select term from q) group by term),
+w as (select item_id, term, cnt,
+        cast(floor(1000 * ln((2 * big_n + 2)::double / (2 * coalesce(df.df, 0) + 1))) as bigint) as w
+      from q left join df using (term) cross join stats),
+m as (select r, doc_id, 25 + (75 * n * big_n) // big_l as m from dn cross join stats),
+s as (select item_id, m.r, m.doc_id,
+        sum(cnt * w * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::bigint as score
+      from w join dt using (term) join m on dt.r = m.r group by item_id, m.r, m.doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select item_id, doc_id, score,
+    row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank
+  from s where score > 0) where rank <= 10
+"""
