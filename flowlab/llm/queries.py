@@ -13,6 +13,7 @@ from flowlab.llm.language import fit, identify
 from flowlab.llm.licenses import FILE, HEADER, STOP, TEMPLATES, WORD, Weights, scan_licenses
 from flowlab.llm.lexical_search import search
 from flowlab.llm.lm_score import score_texts
+from flowlab.llm.lz_fingerprint import fingerprint_texts
 from flowlab.llm.near_dedup import near_duplicates
 from flowlab.llm.packing import pack_sequences
 from flowlab.llm.token_counts import count_tokens
@@ -313,3 +314,9 @@ select item_id, cast(rank as integer) as rank, doc_id, score from (
     row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank
   from s where score > 0) where rank <= 10
 """
+
+
+@register
+def op12_lz_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Lempel-Ziv phrase fingerprints of all documents and of their edits by the next document."""
+    return fingerprint_texts(table(spark, folder, "documents"))
