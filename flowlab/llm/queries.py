@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm.ann import nearest_vectors
+from flowlab.llm.conversation_trie import conversation_trie
 from flowlab.llm.decontaminate import scan_benchmark
 from flowlab.llm.language import fit, identify
 from flowlab.llm.licenses import FILE, HEADER, STOP, TEMPLATES, WORD, Weights, scan_licenses
@@ -320,3 +321,48 @@ select item_id, cast(rank as integer) as rank, doc_id, score from (
 def op12_lz_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Lempel-Ziv phrase fingerprints of all documents and of their edits by the next document."""
     return fingerprint_texts(table(spark, folder, "documents"))
+
+
+@register
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, one row per node."""
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = """
+with recursive
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+      from conversations where conv_id is not null),
+dict as (select role, text, dense_rank() over (order by role, text) as tid from (select distinct role, text from t)),
+own as (select conv_id, list(tid order by turn asc nulls first, t.role, t.text) as seq,
+          list(strlen(t.text) order by turn asc nulls first, t.role, t.text) as b
+        from t join dict using (role, text) group by conv_id),
+ids as (select conv_id as c, cast(conv_id as varchar) as s from own),
+crc(c, s, i, v) as (
+  select c, s, 0, 4294967295::bigint from ids
+  union all
+  select c, s, i + 1,
+    xor((case when i % 8 = 0 then xor(v, ascii(substr(s, i // 8 + 1, 1))) else v end) >> 1,
+        case when ((case when i % 8 = 0 then xor(v, ascii(substr(s, i // 8 + 1, 1))) else v end) & 1) = 1
+             then 3988292384 else 0 end)
+  from crc where i < 8 * length(s)),
+hop as (select c, xor(v, 4294967295) % 9 as h from crc where i = 8 * length(s)),
+r as (select hop.c,
+        list_concat(list_slice(coalesce(bo.seq, list_slice(o.seq, 1, 0)), 1, hop.h), list_slice(o.seq, hop.h + 1, len(o.seq))) as seq,
+        list_concat(list_slice(coalesce(bo.b, list_slice(o.b, 1, 0)), 1, hop.h), list_slice(o.b, hop.h + 1, len(o.b))) as b
+      from hop join own o on o.conv_id = hop.c left join own bo on bo.conv_id = hop.c - hop.c % 5),
+p as (select c, d, list_slice(seq, 1, d) as prefix, len(seq) as n, case when d = 0 then 0 else b[d] end as last_b
+      from (select c, seq, b, unnest(range(0, len(seq) + 1)) as d from r)),
+nodes as (select prefix, any_value(d) as depth, min(c) as conv_id, count(*) as n_convs, any_value(last_b) as last_b,
+            sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where n = d), '')) as ends_sha256
+          from p group by prefix),
+kids as (select list_slice(prefix, 1, depth - 1) as parent, count(*) as n_children from nodes where depth > 0 group by 1),
+wk as (select nodes.*, coalesce(kids.n_children, 0) as n_children from nodes left join kids on kids.parent = nodes.prefix),
+sub as (select list_slice(prefix, 1, a) as anc, sum(case when n_children = 0 then 1 else 0 end)::bigint as n_leaves,
+          sum((n_convs - 1) * last_b)::bigint as saved_tokens
+        from (select *, unnest(range(0, depth + 1)) as a from wk) group by 1)
+select wk.conv_id, wk.depth::bigint as depth, par.conv_id as parent_conv_id, wk.n_convs, wk.n_children::bigint as n_children,
+  sub.n_leaves, sub.saved_tokens, wk.ends_sha256
+from wk join sub on sub.anc = wk.prefix
+left join nodes par on wk.depth > 0 and par.prefix = list_slice(wk.prefix, 1, wk.depth - 1)
+"""
