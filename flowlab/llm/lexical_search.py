@@ -39,6 +39,7 @@ from flowlab.scratch import materialize
 
 # fixed values of the contract: the term pattern and the score constants
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
@@ -56,7 +57,8 @@ RESULT = T.StructType([
 
 def terms_of(text: F.Column) -> F.Column:
     """The terms of a text in order, repeats included; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
+    pieces = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+    return F.filter(pieces, lambda t: t != "")
 
 
 def tf_part(tf: np.ndarray | int, m: np.ndarray | int):
@@ -72,42 +74,49 @@ def _positions(hashes: np.ndarray) -> np.ndarray:
     return ((low[:, None] + steps[None, :] * high[:, None]) % np.uint64(BITS)).astype(np.int64)
 
 
+def _hash(terms: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(terms.astype(object), categorize=False)
+
+
 def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     """The exact ten best documents of one block for every item."""
     empty = pd.DataFrame({"item_id": pd.Series([], dtype="Int64"), "doc_id": pd.Series([], dtype="Int64"),
                           "score": pd.Series([], dtype="int64")})
     if docs.empty or queries.empty:
         return empty
-    rows = docs["_row"].to_numpy()
-    ids, index = np.unique(rows, return_inverse=True)
-    count = len(ids)
-    first = np.unique(index, return_index=True)[1]
-    doc_ids = docs["doc_id"].to_numpy(dtype=object)[first]
-    m = docs["m"].to_numpy(dtype=np.int64)[first]
-    n = docs["n"].to_numpy(dtype=np.int64)[first]
+    count = len(docs)
+    doc_ids = docs["doc_id"].to_numpy(dtype=object)
+    m = docs["m"].to_numpy(dtype=np.int64)
+    n = docs["n"].to_numpy(dtype=np.int64)
+    lists = docs["terms"].tolist()
+    owner = np.repeat(np.arange(count), [len(t) for t in lists])
+    terms = np.concatenate([np.asarray(t, dtype=object) for t in lists]) if len(owner) else np.empty(0, object)
+    hashes = _hash(terms)
     # bit slices: slice j holds one bit per document of the block
     bits = np.zeros((BITS, count), dtype=bool)
-    where = _positions(docs["h"].to_numpy(dtype=np.int64).view(np.uint64))
+    where = _positions(hashes)
     for k in range(HASHES):
-        bits[where[:, k], index] = True
+        bits[where[:, k], owner] = True
     slices = np.packbits(bits, axis=1)
-    del bits
-    # exact term counts, for rescoring only
-    tf = dict(zip(zip(index.tolist(), docs["term"].tolist()), docs["tf"].tolist()))
+    del bits, where
+    # exact counts of the query terms, for rescoring only
+    wanted = np.isin(hashes, _hash(queries["term"].to_numpy()))
+    held = pd.DataFrame({"doc": owner[wanted], "term": terms[wanted]}).value_counts()
+    tf = dict(zip(held.index.tolist(), held.tolist()))
     best_part = tf_part(n, m)  # largest saturated frequency a document can reach
     maybe_of: dict[str, np.ndarray] = {}
     out = []
-    for item, terms in queries.groupby("item_id", dropna=False, sort=False):
+    for item, found in queries.groupby("item_id", dropna=False, sort=False):
         if pd.isna(item):
             item = None
         bound = np.zeros(count, dtype=np.int64)
         plan = []
-        for term, h, cnt, w in zip(terms["term"], terms["h"], terms["cnt"], terms["w"]):
+        for term, cnt, w in zip(found["term"], found["cnt"], found["w"]):
             if w <= 0:
                 continue
             plan.append((term, int(cnt) * int(w)))
             if term not in maybe_of:
-                p = _positions(np.array([h], dtype=np.int64).view(np.uint64))[0]
+                p = _positions(_hash(np.array([term], dtype=object)))[0]
                 hit = slices[p[0]]
                 for j in p[1:]:
                     hit = hit & slices[j]
@@ -115,7 +124,7 @@ def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             bound += np.where(maybe_of[term], int(cnt) * int(w), 0)
         bound = bound * best_part
         order = np.lexsort((np.arange(count), -bound))
-        top: list[tuple[int, float, int]] = []  # (score, -rank of doc order, index) as a min-heap
+        top: list[tuple[int, float, int]] = []  # (score, larger for smaller ids, index): a min-heap of the best
         for i in order.tolist():
             if bound[i] <= 0 or (len(top) == TOP and bound[i] < top[0][0]):
                 break
@@ -148,30 +157,25 @@ def search(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = materialize(documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("terms")
-    ).withColumn("_row", F.monotonically_increasing_id()), "search-docs")
-    sizes = docs.select("_row", "doc_id", F.size("terms").cast("long").alias("n")).where("n > 0")
-    stats = sizes.agg(F.count("*").alias("N"), F.sum("n").alias("L")).first()
+    ).withColumn("_row", F.monotonically_increasing_id()).withColumn("n", F.size("terms").cast("long"))
+        .where("n > 0"), "search-docs")
+    stats = docs.agg(F.count("*").alias("N"), F.sum("n").alias("L")).first()
     big_n, big_l = int(stats["N"] or 0), int(stats["L"] or 0)
     if big_n == 0:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     blocks = max(1, -(-big_n // BLOCK_DOCS))
-    doc_terms = materialize(
-        docs.select("_row", F.explode("terms").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("tf")),
-        "search-terms")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.explode(terms_of(F.col("text"))).alias("term"))
     items = items.groupBy("item_id", "term").agg(F.count("*").alias("cnt"))
     vocabulary = materialize(items.select("term").distinct(), "search-vocabulary")
-    df = doc_terms.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = (docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary, "term", "left_semi")
+          .groupBy("term").agg(F.count("*").alias("df")))
     weights = items.join(df, "term", "left").select(
-        "item_id", "term", "cnt", F.xxhash64("term").alias("h"),
+        "item_id", "term", "cnt",
         F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * big_n + 2)) / (F.lit(2.0) * F.coalesce("df", F.lit(0)) + 1))).alias("w"))
     queries = materialize(weights, "search-queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     m = F.lit(25) + F.expr(f"(75 * n * {big_n}L) div {big_l}L")
-    placed = sizes.select("_row", "doc_id", "n", m.alias("m"), F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"))
-    doc_side = doc_terms.join(placed, "_row").select("block", "_row", "doc_id", "n", "m", "term", "tf",
-                                                     F.xxhash64("term").alias("h"))
+    doc_side = docs.select(F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"), "doc_id", "n", m.alias("m"), "terms")
     found = doc_side.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(_block_search, RESULT)
     ranked = found.withColumn("rank", F.row_number().over(
         Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))).cast("int"))
     return ranked.where(F.col("rank") <= TOP).select("item_id", "rank", "doc_id", "score")
-
