@@ -8,7 +8,7 @@ tasks, and weights are averaged by rows.  A task holds the rows of one shard.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +27,8 @@ from .privacy import privacy_ledger
 from .sample import stratified_split
 
 UPDATE = "client_id int, shard int, num_examples bigint, weights array<double>, loss double, train_ns bigint"
+PARTIAL = "client_id int, shard int, n bigint, loss double, g array<double>"
+CLIENT_UPDATE = "client_id int, num_examples bigint, weights array<double>, loss double, train_ns bigint"
 
 
 def initial_weights(features: int, classes: int) -> list[float]:
@@ -112,6 +114,121 @@ def _shard_trainer(
     return train
 
 
+def _partial_gradients(
+    held: dict[tuple[int, int], list[float]], start: Sequence[float], classes: int, clip: float
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per partition: the summed (clipped) example gradients of each unit at its current weights."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        anchor = np.asarray(start, dtype=float).reshape(classes, -1)
+        weights = {u: np.asarray(w, dtype=float).reshape(classes, -1) for u, w in held.items()}
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))])
+            y = np.eye(classes)[batch["label"].to_numpy()]
+            keys = batch["client_id"].to_numpy().astype(np.int64) * (1 << 32) + batch["shard"].to_numpy()
+            for key in np.unique(keys):
+                rows = keys == key
+                unit = (int(key >> 32), int(key & 0xFFFFFFFF))
+                w = weights.get(unit, anchor)
+                xb, yb = x[rows], y[rows]
+                scores = xb @ w.T
+                scores -= scores.max(axis=1, keepdims=True)
+                p = np.exp(scores)
+                p /= p.sum(axis=1, keepdims=True)
+                loss = float(-np.log(np.clip((p * yb).sum(axis=1), 1e-12, None)).sum())
+                error = p - yb
+                if clip > 0:
+                    length = np.linalg.norm(error, axis=1) * np.linalg.norm(xb, axis=1)
+                    error = error / np.maximum(1.0, length / clip)[:, None]
+                acc = sums.setdefault(unit, [0, 0.0, np.zeros_like(anchor)])
+                acc[0] += int(rows.sum())
+                acc[1] += loss
+                acc[2] += error.T @ xb
+        yield pd.DataFrame({
+            "client_id": [u[0] for u in sums], "shard": [u[1] for u in sums],
+            "n": [a[0] for a in sums.values()], "loss": [a[1] for a in sums.values()],
+            "g": [a[2].ravel().tolist() for a in sums.values()],
+        })
+
+    return run
+
+
+def _merge_partials(rows: pd.DataFrame) -> pd.DataFrame:
+    """One unit's partial sums, one row per partition, added up."""
+    import numpy as np
+
+    return pd.DataFrame({
+        "client_id": [int(rows["client_id"].iloc[0])], "shard": [int(rows["shard"].iloc[0])],
+        "n": [int(rows["n"].sum())], "loss": [float(rows["loss"].sum())],
+        "g": [np.sum(np.stack(rows["g"].to_numpy()), axis=0).tolist()],
+    })
+
+
+def full_batch_update(
+    shards: DataFrame,
+    weights: Sequence[float],
+    classes: int,
+    epochs: int = 2,
+    rate: float = 0.1,
+    mu: float = 0.0,
+    noise: Noise | None = None,
+    number: int = 0,
+) -> DataFrame:
+    """Full-batch local training of every unit (client and shard) as distributed aggregates.
+
+    Each step, every partition sums the (clipped) example gradients of the units it
+    holds at their current weights, one row per unit; a grouped merge adds these
+    rows up per unit (as many rows as partitions), and the weights of each unit
+    move once.  Rows stay where they are, so a client of any size trains in as many
+    tasks as it has partitions.  Only the units' weights and summed gradients,
+    units times the model size, pass through the driver.  Noise is drawn per unit
+    and step from ``(seed, round, client, shard)``, as the grouped trainer does.
+    """
+    import time as clock
+
+    import numpy as np
+
+    began = clock.perf_counter_ns()
+    spark = shards.sparkSession
+    anchor = np.asarray(weights, dtype=float).reshape(classes, -1)
+    sigma, clip, seed = (noise.sigma, noise.clip, noise.seed) if noise else (0.0, 0.0, 0)
+    current: dict[tuple[int, int], np.ndarray] = {}
+    losses: dict[tuple[int, int], list[float]] = {}
+    sizes: dict[tuple[int, int], int] = {}
+    draws: dict[tuple[int, int], np.random.Generator] = {}
+    rows = shards.select("client_id", "shard", "label", "x")
+    for _ in range(epochs):
+        held = {u: w.ravel().tolist() for u, w in current.items()}
+        summed = (rows.mapInPandas(_partial_gradients(held, list(weights), classes, clip), PARTIAL)
+                  .groupBy("client_id", "shard").applyInPandas(_merge_partials, PARTIAL).collect())
+        for row in summed:
+            unit = (row["client_id"], row["shard"])
+            w = current.get(unit, anchor)
+            step = np.asarray(row["g"], dtype=float).reshape(classes, -1)
+            if sigma > 0:
+                draw = draws.setdefault(unit, np.random.default_rng([seed, number, unit[0], unit[1]]))
+                step = step + draw.normal(0.0, sigma * clip, step.shape)
+            current[unit] = w - rate * (step / row["n"] + mu * (w - anchor))
+            losses.setdefault(unit, []).append(row["loss"] / row["n"])
+            sizes[unit] = row["n"]
+    spent = clock.perf_counter_ns() - began
+    clients: dict[int, list] = {}
+    for unit, w in current.items():
+        acc = clients.setdefault(unit[0], [0, 0.0, 0.0, np.zeros_like(anchor)])
+        n = sizes[unit]
+        acc[0] += n
+        acc[1] += float(np.mean(losses[unit])) * n
+        acc[2] += n
+        acc[3] += w * n
+    made = [(c, a[0], (a[3] / a[0]).ravel().tolist(), a[1] / a[2], spent) for c, a in sorted(clients.items())]
+    return spark.createDataFrame(made, CLIENT_UPDATE)
+
+
 def local_update(
     shards: DataFrame,
     weights: Sequence[float],
@@ -127,11 +244,15 @@ def local_update(
 
     ``shards`` comes from ``prepare_shards``.  Whole mini-batches only, as the step
     counts of the privacy ledger assume: a shard of fewer rows than ``batch`` takes
-    no step and has no loss.  ``batch=None`` makes each step over the whole shard.
+    no step and has no loss.  ``batch=None`` makes each step over the whole shard;
+    such steps run as distributed aggregates (``full_batch_update``), while
+    mini-batches train a shard in one task, so a shard must then fit its memory.
     ``mu`` pulls local weights towards the global ones (proximal term); ``noise``
     clips example gradients and adds Gaussian noise to each step.  Returns
     ``(client_id, num_examples, weights, loss, train_ns)``, one row per client.
     """
+    if batch is None:
+        return full_batch_update(shards, weights, classes, epochs, rate, mu, noise, number)
     trained = shards.groupBy("client_id", "shard").applyInPandas(
         _shard_trainer(weights, classes, epochs, rate, batch, mu, noise, number), UPDATE
     )
@@ -235,12 +356,11 @@ def federated_fit(
     spark = df.sparkSession
     marked = stratified_split(df, label, test, [key]) if test > 0 else df
     train = marked.filter("not is_test") if test > 0 else marked
-    dealt = (
-        prepare_shards(train, features, label, key, shards)
-        .repartition("client_id", "shard")
-        .sortWithinPartitions("client_id", "shard")
-        .persist()
-    )
+    dealt = prepare_shards(train, features, label, key, shards)
+    if batch is not None:
+        # a mini-batch trainer holds a shard in one task
+        dealt = dealt.repartition("client_id", "shard").sortWithinPartitions("client_id", "shard")
+    dealt = dealt.persist()
     # filled here, so that every round sees the partitioning
     sizes = materialize(dealt.groupBy("client_id", "shard").agg(F.count("*").alias("n")), "shards")
     judged = dealt

@@ -131,3 +131,35 @@ def test_baseline(spark, rows, hidden, tmp_path):
     scores = learn.fit_baseline(binary, ["a", "b"], "label", "id", hidden=hidden, save_to=str(tmp_path / "model"))
     assert scores.count() == 180
     assert metrics.roc_auc(scores).first()["auc"] > 0.95
+
+
+def plain_full_batch(x, y, w, anchor, epochs, rate, mu, clip):
+    """Full-batch steps by a plain loop, clipped example gradients, proximal term."""
+    for _ in range(epochs):
+        s = x @ w.T
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        error = p / p.sum(axis=1, keepdims=True) - y
+        if clip > 0:
+            length = np.linalg.norm(error, axis=1) * np.linalg.norm(x, axis=1)
+            error = error / np.maximum(1.0, length / clip)[:, None]
+        w = w - rate * (error.T @ x / len(x) + mu * (w - anchor))
+    return w
+
+
+def test_a_hot_client_trains_over_many_partitions(spark, rows):
+    # nine of ten rows belong to client 0, dealt over six partitions
+    hot = rows.withColumn("client_id", (F.col("id") % 10 == 9).cast("int")).repartition(6)
+    shards = learn.prepare_shards(hot, ["a", "b"], "label", "id")
+    start = [0.1 * k for k in range(9)]
+    partial = shards.select("client_id", "shard", "label", "x").mapInPandas(
+        learn._partial_gradients({}, start, 3, 0.7), learn.PARTIAL)
+    assert partial.where("client_id = 0").count() == 6
+    got = {r["client_id"]: r for r in learn.full_batch_update(
+        shards, start, 3, epochs=3, rate=0.4, mu=0.2, noise=learn.Noise(1, sigma=0.0, clip=0.7)).collect()}
+    pdf = hot.toPandas()
+    for client, part in pdf.groupby("client_id"):
+        x = np.column_stack([part[["a", "b"]], np.ones(len(part))])
+        anchor = np.asarray(start).reshape(3, 3)
+        want = plain_full_batch(x, np.eye(3)[part["label"]], anchor, anchor, 3, 0.4, 0.2, 0.7)
+        assert got[client]["weights"] == pytest.approx(want.ravel().tolist())
+        assert got[client]["num_examples"] == len(part)
