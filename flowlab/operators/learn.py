@@ -60,37 +60,47 @@ class Noise:
     delta: float = 1e-5
 
 
-def _shard_trainer(
-    weights: Sequence[float], classes: int, epochs: int, rate: float, batch: int | None, mu: float,
-    noise: Noise | None = None, number: int = 0,
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _stream_trainer(
+    held: dict[tuple[int, int], list[float]], weights: Sequence[float], classes: int, rate: float, batch: int,
+    mu: float, noise: Noise | None, number: int, steps_before: dict[tuple[int, int], int],
+) -> Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One epoch of whole mini-batches over a unit's rows, read as a stream of Arrow batches.
+
+    Rows arrive in their training order; rows left over from one Arrow batch are
+    carried into the next, so memory holds one Arrow batch and one mini-batch.
+    """
     start = list(weights)
     sigma, clip, seed = (noise.sigma, noise.clip, noise.seed) if noise else (0.0, 0.0, 0)
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
+    def train(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time as clock
 
         import numpy as np
-        import pandas as pds
 
         began = clock.perf_counter_ns()
-        rows = rows.sort_values("order", kind="stable")
-        client, shard = int(rows["client_id"].iloc[0]), int(rows["shard"].iloc[0])
-        draw = np.random.default_rng([seed, number, client, shard])
-        x = np.column_stack([np.stack(rows["x"].to_numpy()), np.ones(len(rows))])
-        y = np.eye(classes)[rows["label"].to_numpy()]
+        unit = (int(key[0]), int(key[1]))
         anchor = np.asarray(start).reshape(classes, -1)
-        w = anchor.copy()
-        size = batch or len(x)
-        losses = []
-        for _ in range(epochs):
-            for at in range(0, len(x) - size + 1, size):
-                xb, yb = x[at : at + size], y[at : at + size]
+        w = np.asarray(held.get(unit, start), dtype=float).reshape(classes, -1)
+        draw = np.random.default_rng([seed, number, unit[0], unit[1]])
+        if sigma > 0:
+            for _ in range(steps_before.get(unit, 0)):  # the draws of earlier epochs
+                draw.normal(0.0, sigma * clip, w.shape)
+        carry_x = np.empty((0, w.shape[1]))
+        carry_y = np.empty((0, classes))
+        n, loss_sum, steps = 0, 0.0, 0
+        for part in batches:
+            n += len(part)
+            x = np.vstack([carry_x, np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])])
+            y = np.vstack([carry_y, np.eye(classes)[part["label"].to_numpy()]])
+            whole = len(x) - len(x) % batch
+            for at in range(0, whole, batch):
+                xb, yb = x[at:at + batch], y[at:at + batch]
                 scores = xb @ w.T
                 scores -= scores.max(axis=1, keepdims=True)
                 p = np.exp(scores)
                 p /= p.sum(axis=1, keepdims=True)
-                losses.append(-np.log(np.clip((p * yb).sum(axis=1), 1e-12, None)).mean())
+                loss_sum += float(-np.log(np.clip((p * yb).sum(axis=1), 1e-12, None)).mean())
+                steps += 1
                 error = p - yb
                 if clip > 0:
                     # an example's gradient is an outer product, so its length is too
@@ -99,21 +109,58 @@ def _shard_trainer(
                 step = error.T @ xb
                 if sigma > 0:
                     step = step + draw.normal(0.0, sigma * clip, step.shape)
-                w -= rate * (step / size + mu * (w - anchor))
-        return pds.DataFrame(
-            {
-                "client_id": [client],
-                "shard": [shard],
-                "num_examples": [len(x)],
-                "weights": [w.ravel().tolist()],
-                "loss": [float(np.mean(losses)) if losses else None],
-                "train_ns": [clock.perf_counter_ns() - began],
-            }
-        )
+                w = w - rate * (step / batch + mu * (w - anchor))
+            carry_x, carry_y = x[whole:], y[whole:]
+        yield pd.DataFrame({
+            "client_id": [unit[0]], "shard": [unit[1]], "num_examples": [n], "weights": [w.ravel().tolist()],
+            "loss_sum": [loss_sum], "steps": [steps], "train_ns": [clock.perf_counter_ns() - began],
+        })
 
     return train
 
 
+EPOCH = "client_id int, shard int, num_examples bigint, weights array<double>, loss_sum double, steps bigint, train_ns bigint"
+
+
+def minibatch_update(
+    shards: DataFrame,
+    weights: Sequence[float],
+    classes: int,
+    epochs: int,
+    rate: float,
+    batch: int,
+    mu: float = 0.0,
+    noise: Noise | None = None,
+    number: int = 0,
+    prepared: bool = False,
+) -> DataFrame:
+    """Mini-batch training of every unit, one streamed pass per epoch.
+
+    A unit's rows meet in one task, in order, but are read batch by batch, so a
+    unit of any size trains in bounded memory.  ``prepared`` says that ``shards``
+    is already partitioned by unit and sorted by ``order`` within it.  The weights
+    of each unit, units times the model size, go through the driver between epochs.
+    """
+    if not prepared:
+        shards = shards.repartition("client_id", "shard").sortWithinPartitions("client_id", "shard", "order")
+    rows = shards.select("client_id", "shard", "order", "label", "x")
+    held: dict[tuple[int, int], list[float]] = {}
+    done: dict[tuple[int, int], list] = {}
+    for _ in range(epochs):
+        steps_before = {u: d[3] for u, d in done.items()}
+        trained = rows.groupBy("client_id", "shard").applyInPandas(
+            _stream_trainer(held, weights, classes, rate, batch, mu, noise, number, steps_before), EPOCH).collect()
+        for r in trained:
+            unit = (r["client_id"], r["shard"])
+            held[unit] = list(r["weights"])
+            d = done.setdefault(unit, [r["num_examples"], 0.0, 0, 0])
+            d[1] += r["loss_sum"]
+            d[2] += r["train_ns"]
+            d[3] += r["steps"]
+    made = [(u[0], u[1], d[0], held[u], d[1] / d[3] if d[3] else None, d[2]) for u, d in sorted(done.items())]
+    return shards.sparkSession.createDataFrame(made, UPDATE)
+
+
 def _partial_gradients(
     held: dict[tuple[int, int], list[float]], start: Sequence[float], classes: int, clip: float
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -239,6 +286,7 @@ def local_update(
     mu: float = 0.0,
     noise: Noise | None = None,
     number: int = 0,
+    prepared: bool = False,
 ) -> DataFrame:
     """One training round per client from the given global weights.
 
@@ -246,16 +294,15 @@ def local_update(
     counts of the privacy ledger assume: a shard of fewer rows than ``batch`` takes
     no step and has no loss.  ``batch=None`` makes each step over the whole shard;
     such steps run as distributed aggregates (``full_batch_update``), while
-    mini-batches train a shard in one task, so a shard must then fit its memory.
+    mini-batches stream a shard's rows through one task in bounded memory
+    (``minibatch_update``; ``prepared``: rows already dealt by unit and sorted).
     ``mu`` pulls local weights towards the global ones (proximal term); ``noise``
     clips example gradients and adds Gaussian noise to each step.  Returns
     ``(client_id, num_examples, weights, loss, train_ns)``, one row per client.
     """
     if batch is None:
         return full_batch_update(shards, weights, classes, epochs, rate, mu, noise, number)
-    trained = shards.groupBy("client_id", "shard").applyInPandas(
-        _shard_trainer(weights, classes, epochs, rate, batch, mu, noise, number), UPDATE
-    )
+    trained = minibatch_update(shards, weights, classes, epochs, rate, batch, mu, noise, number, prepared)
     # one aggregate for model and notes, so that shards train once
     n = F.col("num_examples")
     heard = F.when(F.col("loss").isNotNull(), n)
@@ -359,7 +406,7 @@ def federated_fit(
     dealt = prepare_shards(train, features, label, key, shards)
     if batch is not None:
         # a mini-batch trainer holds a shard in one task
-        dealt = dealt.repartition("client_id", "shard").sortWithinPartitions("client_id", "shard")
+        dealt = dealt.repartition("client_id", "shard").sortWithinPartitions("client_id", "shard", "order")
     dealt = dealt.persist()
     # filled here, so that every round sees the partitioning
     sizes = materialize(dealt.groupBy("client_id", "shard").agg(F.count("*").alias("n")), "shards")
@@ -374,7 +421,7 @@ def federated_fit(
     updates, scores = [], []
     try:
         for number in range(1, rounds + 1):
-            made = local_update(dealt, weights, classes, epochs, rate, batch, mu, noise, number)
+            made = local_update(dealt, weights, classes, epochs, rate, batch, mu, noise, number, prepared=True)
             updates.append(materialize(made.withColumn("server_round", F.lit(number)), "updates"))
             weights = list(weighted_vector_mean(updates[-1], ["server_round"], "weights", "num_examples").first()["weights"])
             found = evaluate_clients(judged, weights, classes, len(features))

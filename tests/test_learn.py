@@ -163,3 +163,32 @@ def test_a_hot_client_trains_over_many_partitions(spark, rows):
         want = plain_full_batch(x, np.eye(3)[part["label"]], anchor, anchor, 3, 0.4, 0.2, 0.7)
         assert got[client]["weights"] == pytest.approx(want.ravel().tolist())
         assert got[client]["num_examples"] == len(part)
+
+
+def test_minibatches_stream_across_small_arrow_batches(spark):
+    table = spark.range(2_000).select(
+        "id", F.lit(3).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 500.0 - 1).alias("a"), (F.col("id") % 3 / 2.0).alias("b"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "45")  # mini-batches straddle Arrow batches
+    try:
+        noise = learn.Noise(11, sigma=0.3, clip=0.8)
+        got = trained(spark, table, epochs=2, rate=0.1, batch=32, mu=0.05, noise=noise, number=4)[3]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    data = sorted((hashlib.md5(f"order:{r.id}".encode()).hexdigest(), r.a, r.b, r.label) for r in table.collect())
+    x = np.array([(a, b, 1.0) for _, a, b, _ in data])
+    y = np.eye(3)[[r[3] for r in data]]
+    w = anchor = np.zeros((3, 3))
+    draw = np.random.default_rng([11, 4, 3, 0])
+    for _ in range(2):
+        for at in range(0, len(x) - 31, 32):
+            xb, yb = x[at:at + 32], y[at:at + 32]
+            s = xb @ w.T
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            error = p / p.sum(axis=1, keepdims=True) - yb
+            length = np.linalg.norm(error, axis=1) * np.linalg.norm(xb, axis=1)
+            error = error / np.maximum(1.0, length / 0.8)[:, None]
+            step = error.T @ xb + draw.normal(0.0, 0.3 * 0.8, (3, 3))
+            w = w - 0.1 * (step / 32 + 0.05 * (w - anchor))
+    assert got["weights"] == pytest.approx(w.ravel().tolist(), abs=1e-9) and got["num_examples"] == 2_000
