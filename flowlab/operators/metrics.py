@@ -41,38 +41,98 @@ def attack_ratio(df: DataFrame, is_attack: Column) -> DataFrame:
     )
 
 
-def vector_totals(df: DataFrame, group: Sequence[str], vec: Column, weight: Column) -> DataFrame:
-    """``(group, pos, total, weight)``: weighted element sums per group.
-
-    Elements are exploded and summed by position.  Partial aggregation keeps the
-    shuffle at one row per group, position and task, whatever the number of vectors.
+VECTOR_BLOCK = 1 << 16
+_PARTS = "_block int, total array<double>, weight array<double>, count array<long>"
+
+
+def _vector_partials(keys: list[str]):
+    """Per partition: weighted sums of whole vectors per group, cut into blocks of positions."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
+            for key, part in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                vecs = part["_v"].tolist()
+                width = max((len(v) for v in vecs if v is not None), default=0)
+                if width == 0:
+                    continue
+                m = np.full((len(vecs), width), np.nan)
+                for i, v in enumerate(vecs):
+                    if v is not None and len(v):
+                        m[i, :len(v)] = np.asarray(v, dtype=float)
+                w = part["_w"].to_numpy(dtype=float, na_value=np.nan)
+                present = ~np.isnan(m)
+                used = present & ~np.isnan(w)[:, None]
+                add = [np.where(used, m * w[:, None], 0.0).sum(0), np.where(used, w[:, None], 0.0).sum(0),
+                       present.sum(0).astype(np.int64)]
+                old = held.get(key)
+                if old is None:
+                    held[key] = add
+                    continue
+                size = max(len(old[0]), width)
+                held[key] = [np.pad(a, (0, size - len(a))) + np.pad(b, (0, size - len(b))) for a, b in zip(old, add)]
+        rows = []
+        for key, (total, weight, count) in held.items():
+            for b in range(0, len(total), VECTOR_BLOCK):
+                rows.append((*key, b // VECTOR_BLOCK, total[b:b + VECTOR_BLOCK].tolist(),
+                             weight[b:b + VECTOR_BLOCK].tolist(), count[b:b + VECTOR_BLOCK].tolist()))
+        yield pd.DataFrame(rows, columns=[*keys, "_block", "total", "weight", "count"])
+
+    return run
+
+
+def _merge_blocks(keys: list[str]):
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        size = max(len(v) for v in rows["total"])
+        out = {k: [rows[k].iloc[0]] for k in [*keys, "_block"]}
+        for name, kind in (("total", float), ("weight", float), ("count", np.int64)):
+            out[name] = [np.sum([np.pad(np.asarray(v, dtype=kind), (0, size - len(v))) for v in rows[name]],
+                                axis=0).tolist()]
+        return pd.DataFrame(out)
+
+    return run
+
+
+def vector_sums(df: DataFrame, group: Sequence[str], vec: Column, weight: Column) -> DataFrame:
+    """``(group, total, weight, count)``: position-wise weighted sums of whole vectors per group.
+
+    Each partition adds up its vectors per group in numpy and sends one row per
+    group and block of ``VECTOR_BLOCK`` positions; these are added up per group and
+    block, then blocks are put back in order.  Rows shuffled are groups times
+    partitions times blocks, never one per element.  ``weight`` sums the weights of
+    the rows that hold an element at a position, ``count`` counts them; a null or NaN
+    element and a null weight add nothing.
     """
-    keys = [quoted(g) for g in group]
-    elements = df.select(*keys, weight.cast("double").alias("_w"), F.posexplode(vec).alias("pos", "_x"))
-    x = F.col("_x").cast("double")
-    return elements.filter("_x is not null").groupBy(*keys, "pos").agg(
-        F.sum(x * F.col("_w")).alias("total"), F.sum("_w").alias("weight")
-    )
-
+    keys = [g for g in group]
+    staged = df.select(*[quoted(g).alias(g) for g in keys], vec.alias("_v"), weight.cast("double").alias("_w"))
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields if f.name in keys)
+    schema = f"{key_fields}, {_PARTS}" if key_fields else _PARTS
+    parts = staged.mapInPandas(_vector_partials(keys), schema)
+    merged = parts.groupBy(*[quoted(g) for g in keys], "_block").applyInPandas(_merge_blocks(keys), schema)
+    ordered = F.array_sort(F.collect_list(F.struct("_block", "total", "weight", "count")))
+    return merged.groupBy(*[quoted(g) for g in keys]).agg(ordered.alias("_s")).select(
+        *[quoted(g) for g in keys], F.flatten("_s.total").alias("total"), F.flatten("_s.weight").alias("weight"),
+        F.flatten("_s.count").alias("count"))
 
-def weighted_vector_mean(df: DataFrame, group: Sequence[str], vec: str, weight: str) -> DataFrame:
-    """Element-wise mean of model vectors weighted by example counts, one array per group."""
-    totals = vector_totals(df, group, quoted(vec), quoted(weight))
-    means = totals.withColumn("_mean", F.try_divide(F.col("total"), F.col("weight")))
-    return pack_vectors(means, group, "_mean", vec)
 
+def present_means(total: Column, weight: Column, count: Column) -> Column:
+    """Total over weight at the positions some vector holds, in order."""
+    held = F.filter(F.arrays_zip(total.alias("t"), weight.alias("w"), count.alias("c")), lambda z: z["c"] > 0)
+    return F.transform(held, lambda z: F.try_divide(z["t"], z["w"]))
 
-def pack_vectors(elements: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Elements back to one array per group, in position order.
 
-    A group holds one element per position here, so its size is the model's.
-    """
-    cells = F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("x"))))
-    return (
-        elements.groupBy(*[quoted(g) for g in group])
-        .agg(cells.alias("_cells"))
-        .select(*[quoted(g) for g in group], F.col("_cells.x").alias(out))
-    )
+def weighted_vector_mean(df: DataFrame, group: Sequence[str], vec: str, weight: str) -> DataFrame:
+    """Element-wise mean of model vectors weighted by example counts, one array per group."""
+    sums = vector_sums(df, group, quoted(vec), quoted(weight))
+    return sums.select(*[quoted(g) for g in group], present_means(F.col("total"), F.col("weight"), F.col("count")).alias(vec))
 
 
 def weighted_metrics(

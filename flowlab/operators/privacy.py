@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bind, quoted
 from ..functions.vectors import clip_l2
 from ..scratch import materialize
-from .metrics import pack_vectors, vector_totals
+from .metrics import present_means, vector_sums
 
 # The orders a budget is taken over
 TENTH_ORDERS = tuple(range(11, 110))  # 1.1 to 10.9
@@ -125,10 +125,10 @@ def dp_vector_mean(
     that is run again draws the same noise; whoever knows the seed can subtract it.
     """
     clipped = df.withColumn("_clipped", clip_l2(quoted(vec), clip))
-    totals = vector_totals(clipped, group, F.col("_clipped"), F.lit(1.0))
-    noisy = F.col("total") + F.lit(float(sigma * clip)) * hash_gaussian(seed, *[quoted(g) for g in group], F.col("pos"))
-    means = totals.withColumn("_mean", F.try_divide(noisy, F.col("weight")))
-    return pack_vectors(means, group, "_mean", vec)
+    sums = vector_sums(clipped, group, F.col("_clipped"), F.lit(1.0))
+    keys = [quoted(g) for g in group]
+    noisy = F.transform("total", lambda x, pos: x + F.lit(float(sigma * clip)) * hash_gaussian(seed, *keys, pos))
+    return sums.select(*keys, present_means(noisy, F.col("weight"), F.col("count")).alias(vec))
 
 
 def hash_gaussian(seed: int, *keys: Column) -> Column:

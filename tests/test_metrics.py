@@ -109,3 +109,24 @@ def test_valid_payloads_and_sizes(spark):
 
 def test_telemetry_columns(spark):
     assert to_telemetry(runs(spark)).columns == list(TELEMETRY) and len(TELEMETRY) == 18
+
+
+def test_vector_sums_send_blocks_not_elements(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "VECTOR_BLOCK", 4)
+    rng = random.Random(3)
+    data = [(g, [rng.choice([None, rng.random()]) for _ in range(rng.randint(0, 10))], rng.choice([None, 1, 2, 5]))
+            for g in ("a", "b", None) for _ in range(40)]
+    data.append(("a", [1.0] * 10, 3))
+    rows = spark.createDataFrame(data, "g string, v array<double>, n int").repartition(3)
+    staged = rows.select("g", F.col("v").alias("_v"), F.col("n").cast("double").alias("_w"))
+    parts = staged.mapInPandas(metrics._vector_partials(["g"]), "g string, " + metrics._PARTS).collect()
+    assert 3 * 3 <= len(parts) <= 3 * 3 * 3  # at most groups x partitions x blocks of four positions
+    got = {r["g"]: r["v"] for r in metrics.weighted_vector_mean(rows, ["g"], "v", "n").collect()}
+    for g in ("a", "b", None):
+        want = []
+        for pos in range(10):
+            held = [(v[pos], n) for k, v, n in data if k == g and len(v) > pos and v[pos] is not None]
+            if held:
+                weight = sum(n for _, n in held if n is not None)
+                want.append(sum(x * n for x, n in held if n is not None) / weight if weight else None)
+        assert got[g] == pytest.approx(want)
