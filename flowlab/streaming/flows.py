@@ -72,15 +72,16 @@ def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | Non
     """Run an aggregating stream over input that has an end, and return all its groups.
 
     No group waits for rows that will not come.  Every micro-batch writes the whole
-    result beside the last one, so a batch that is run again replaces itself.
+    result beside the last one, so a batch that is run again replaces itself.  The
+    result is the newest complete batch found in ``path``, so a later call with the
+    same ``path`` and ``checkpoint`` and no new input returns the same groups; older
+    batches are removed once a newer one is complete.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "stream")
-    last: list[int] = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        last[:] = [batch_id]
 
     query = (
         stream.writeStream.foreachBatch(sink).outputMode("complete")
@@ -89,9 +90,32 @@ def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | Non
         .start()
     )
     query.awaitTermination()
-    if not last:
+    newest = _newest_batch(spark, path)
+    if newest is None:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}")
+    return spark.read.schema(stream.schema).parquet(newest)
+
+
+def _newest_batch(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest batch whose write completed; older ones are deleted."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    done = {}
+    for status in fs.listStatus(root):
+        place = status.getPath()
+        name = place.getName()
+        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
+            done[int(name[len("batch="):])] = place
+    if not done:
+        return None
+    newest = max(done)
+    for number, place in done.items():
+        if number < newest:
+            fs.delete(place, True)
+    return done[newest].toString()
 
 
 def append_telemetry_stream(stream: DataFrame, path: str, checkpoint: str) -> None:

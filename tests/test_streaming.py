@@ -30,3 +30,28 @@ def test_telemetry_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run().count() == 2
     newest = streams.latest_round(both).first()
     assert (newest["server_round"], newest["global_accuracy"]) == (2, 0.6)
+
+
+def test_run_to_end_twice_gives_the_same_groups(spark, tmp_path):
+    feed, out, progress = (str(tmp_path / n) for n in ("feed", "out", "progress"))
+    schema = "ts timestamp, v double"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+
+    def run():
+        flows = streams.stream_files(spark, feed, spark.createDataFrame([], schema).schema)
+        counts = flows.groupBy(F.window("ts", "10 seconds").start.alias("start")).agg(F.count("*").alias("n"))
+        return sorted(tuple(r) for r in streams.run_to_end(counts, out, progress).collect())
+
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    add([(t, 1.0), (t + dt.timedelta(seconds=12), 2.0)])
+    first = run()
+    assert [n for _, n in first] == [1, 1]
+    assert run() == first  # nothing new: the same groups, not none
+    add([(t + dt.timedelta(seconds=3), 3.0)])
+    third = run()
+    assert [n for _, n in third] == [2, 1]
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) == 1
