@@ -984,6 +984,16 @@ def q_local_update(spark, folder):
     return _elements(updates, ["client_id", "num_examples"], "weights")
 
 
+@query()
+def q_minibatch_update(spark, folder):
+    # two epochs of mini-batches of 32 per client, streamed in order; sequential steps have
+    # no SQL form, so tests hold this trainer against the plain loop
+    shards = learn.prepare_shards(_client_rows(spark, folder), FEATURES, "label", "vec_id")
+    start = learn.initial_weights(DIM, CLASSES)
+    updates = learn.local_update(shards, start, CLASSES, epochs=2, rate=0.1, batch=32)
+    return rounded(_elements(updates, ["client_id", "num_examples"], "weights"), 6, "x")
+
+
 def rounds_sql(condition: str, rounds: int, epochs: int, rate: float, mu: float = 0.0, clip: float = 0.0, test: float = 0.0) -> str:
     """Full-batch federated rounds written out: every epoch is one gradient step per client."""
     vec_hash = md5_sql("cast(vec_id as varchar)")
