@@ -10,7 +10,9 @@ Documents with equal sets form one class, and all further work is on classes.
 Classes that share a band of the signature are candidates; candidates joined
 through shared bands form a cell.  The full sets of a cell meet in a task, which
 counts the intersections of all its pairs and unites linked classes; a cell of
-several blocks has a task for every pair of blocks.  A cell too large to compare
+several blocks has a task for every block and then for every pair of blocks, where
+classes that their own blocks already linked start united, so a pair of blocks
+sends only links between components left apart.  A cell too large to compare
 as a whole is taken apart by bucket, so that every candidate pair still meets in
 some task.  Tasks emit spanning links only; components of these links are the
 groups.
@@ -185,13 +187,27 @@ class Union:
 
 
 def _spanning(part: int, whole: int):
+    """Links that join different components of a task's classes.
+
+    With a ``label`` column (the components known before the task), classes of one
+    label start united and only links between labels are sent; a task whose classes
+    all carry one label has nothing to find and compares nothing.
+    """
+
     def run(group: pa.Table) -> pa.Table:
         keys = group.column("class").to_pylist()
         sides = group.column("side").to_pylist()
+        union, out = Union(len(keys)), ([], [])
+        if "label" in group.column_names:
+            labels = group.column("label").to_pylist()
+            if len(set(labels)) == 1:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            first_of: dict[int, int] = {}
+            for i, label in enumerate(labels):
+                union.join(first_of.setdefault(label, i), i)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in group.column("shingles").to_pylist()]
         one, two = ([i for i, s in enumerate(sides) if s == k] for k in (0, 1))
         first = [i for i, s in enumerate(sides) if s != 1]
-        union, out = Union(len(keys)), ([], [])
         if two:
             pairs = ((one[i], two[j]) for i, j in linked_pairs([sets[i] for i in one], [sets[j] for j in two], part, whole)) if one else ()
         else:
@@ -287,5 +303,14 @@ def _links(source: DataFrame, classes: DataFrame, names: list[str], part: int, w
     texts = source.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select(
         "class", "digest", "text")
     sets = materialize(texts.mapInArrow(_wanted_sets(shingle), "class long, shingles binary").dropDuplicates(["class"]), "sets")
-    return materialize(tasks.join(sets, "class").groupBy("cell", "low", "high").applyInArrow(
+    tasks = materialize(tasks, "tasks")
+    # blocks with themselves first: their links are a forest, fewer than their classes
+    inside = materialize(tasks.where("low = high").join(sets, "class").groupBy("cell", "low", "high").applyInArrow(
+        _spanning(part, whole), "a long, b long"), "links")
+    known = connected_components(inside).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    # pairs of blocks then only join what the blocks left apart
+    across = tasks.where("low < high").join(known, "class", "left").withColumn(
+        "label", F.coalesce("label", "class")).join(sets, "class")
+    between = materialize(across.groupBy("cell", "low", "high").applyInArrow(
         _spanning(part, whole), "a long, b long"), "links")
+    return inside.unionByName(between)

@@ -113,3 +113,25 @@ def test_components(spark):
     assert {r.node: r.component for r in made} == {
         1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **{k: 10 for k in range(10, 17)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_a_large_group_stay_linear(spark, monkeypatch):
+    import flowlab.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "TASK_CLASSES", 20)
+    calls = []
+
+    def counted(edges, *args, **kwargs):
+        calls.append(edges.count())
+        return connected_components(edges, *args, **kwargs)
+
+    monkeypatch.setattr(module, "connected_components", counted)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[(i * 7) % 300] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert calls[-1] <= 300 + 15 * 14 // 2  # a forest inside blocks, at most one link a pair of blocks
