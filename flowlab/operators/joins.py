@@ -20,16 +20,62 @@ def _same(a: Column, b: Column, null_safe: bool) -> Column:
     return a.eqNullSafe(b) if null_safe else a == b
 
 
+def _frequent(key: str, keep: int):
+    """Misra-Gries summary of a partition's keys with ``keep`` counters, merged batch by batch.
+
+    A key with more than ``rows / (keep + 1)`` rows in the partition stays in it.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        held = None
+        for batch in batches:
+            counts = batch[key].value_counts()
+            held = counts if held is None else held.add(counts, fill_value=0)
+            if len(held) > keep:
+                cut = held.nlargest(keep + 1).iloc[-1]
+                held = held[held > cut] - cut
+        if held is not None and len(held):
+            yield pd.DataFrame({key: held.index, "_c": held.to_numpy(dtype="int64")})
+
+    return run
+
+
+def candidate_keys(df: DataFrame, key: str, bar: float) -> DataFrame:
+    """Keys that may have more than ``bar`` rows: a superset of them, from mergeable summaries.
+
+    With ``keep = rows / bar`` counters per partition, a key above the bar overall is
+    above ``partition rows / (keep + 1)`` in some partition, so its summary holds it.
+    """
+    rows = df.select(quoted(key).alias(_KEY)).filter(F.col(_KEY).isNotNull())
+    total = rows.count()
+    keep = max(1, int(total / max(bar, 1.0)))
+    schema = f"{_KEY} {rows.schema[_KEY].dataType.simpleString()}, _c long"
+    return rows.mapInPandas(_frequent(_KEY, keep), schema).select(_KEY).distinct()
+
+
 def hot_keys(base: DataFrame, logs: list[DataFrame], key: str, null_safe: bool, heavy_rows: int) -> DataFrame:
     """``(_key, n0, m0, n1, m1, ...)`` for keys with more than ``heavy_rows`` rows on a side of some join.
 
     ``n{i}`` are the rows of the key in log i, ``m{i}`` those of everything merged
-    before it.  Every table is counted once, over its key column alone; the result
-    has at most as many rows as the tables have multiples of ``heavy_rows``.
+    before it.  A key whose rows are at most ``heavy_rows ** (1 / tables)`` in every
+    table cannot pass ``heavy_rows``, fan-out included, so candidates are the keys
+    that a Misra-Gries summary per partition finds above that bar in some table;
+    only they are counted exactly.  No table is grouped by all its keys.  The NULL
+    key is always a candidate when ``null_safe``.
     """
+    tables = [base, *logs]
+    bar = heavy_rows ** (1.0 / len(tables))
+    found = reduce(DataFrame.unionByName, [candidate_keys(t, key, bar) for t in tables]).distinct()
+    if null_safe:
+        found = found.unionByName(base.sparkSession.range(1).select(F.lit(None).cast(found.schema[_KEY].dataType).alias(_KEY)))
+    found = materialize(found, "candidates")
+
     def counts(df: DataFrame, name: str, as_key: str) -> DataFrame:
         rows = df.select(quoted(key).alias(as_key))
         rows = rows if null_safe else rows.filter(F.col(as_key).isNotNull())
+        rows = rows.join(found.withColumnRenamed(_KEY, "_cand"), _same(F.col(as_key), F.col("_cand"), null_safe), "left_semi")
         return rows.groupBy(as_key).agg(F.count("*").alias(name))
 
     tally = counts(base, "m0", _KEY)

@@ -83,3 +83,28 @@ def test_missing_sessions(spark):
     plan = joins.planned_sessions(log.select("condition").distinct(), 2)
     got = sorted(map(tuple, joins.missing_sessions(plan, log, 40).collect()))
     assert got == [("A", 2), ("B", 2)]
+
+
+def test_hot_keys_from_summaries_match_exact_counts(spark):
+    import random
+    from collections import Counter
+
+    from flowlab.operators import joins as J
+
+    rng = random.Random(5)
+    # key 1 is hot alone, keys 2 and 3 only through fan-out over three tables
+    base = [1] * 400 + [2] * 30 + [3] * 25 + [rng.randint(10, 5000) for _ in range(3000)] + [None] * 50
+    log1 = [1] + [2] * 30 + [3] * 20 + [rng.randint(10, 5000) for _ in range(3000)]
+    log2 = [2] * 5 + [rng.randint(10, 5000) for _ in range(2000)] + [None] * 9
+    frames = [spark.createDataFrame([(k,) for k in t], "uid long").repartition(7) for t in (base, log1, log2)]
+    heavy = 300
+    got = {r["_key"]: tuple(r[c] for c in ("m0", "n0", "m1", "n1")) for r in
+           J.hot_keys(frames[0], frames[1:], "uid", False, heavy).collect()}
+    counts = [Counter(k for k in t if k is not None) for t in (base, log1, log2)]
+    want = {}
+    for k in counts[0]:
+        m0, n0, n1 = counts[0][k], counts[1].get(k, 0), counts[2].get(k, 0)
+        m1 = m0 * max(1, n0)
+        if (n0 > 0 and max(n0, m0) > heavy) or (n1 > 0 and max(n1, m1) > heavy):
+            want[k] = (m0, n0, m1, n1)
+    assert got == want and set(want) == {1, 2}
