@@ -151,11 +151,21 @@ def q_zeek_corrupt(spark, folder):
     even = F.concat_ws("\t", "uid", "proto")
     for head, line, rest in (("#fields\tevent_id\tproto\tuid", odd, 1), ("#fields\tuid\tproto", F.coalesce(long, even), 0)):
         part = rows.filter(F.col("event_id") % 2 == rest).select(line.alias("value"))
-        head_row = spark.range(1).select(F.lit(head).alias("value"))
-        head_row.unionByName(part).coalesce(1).write.mode("append").text(path)
+        # every task writes its own file, which starts with the header
+        part.mapInPandas(_headed(head), "value string").write.mode("append").text(path)
     return zeek.read_zeek_log(spark, path)
 
 
+def _headed(head: str):
+    def run(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [head]})
+        yield from batches
+
+    return run
+
+
 TELEMETRY_SQL = f"""
 with t as ({A.TELEMETRY})
 select condition, cast(run as int) as run, cast(server_round as int) as server_round, client_id,
