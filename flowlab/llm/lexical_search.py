@@ -28,7 +28,6 @@ other than ``doc_id``/``text`` and ``item_id``/``text`` are ignored.
 from __future__ import annotations
 
 import heapq
-import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,12 +79,11 @@ def _hash(terms: np.ndarray) -> np.ndarray:
 
 def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     """The exact ten best documents of one block for every item."""
-    empty = pd.DataFrame({"item_id": pd.Series([], dtype="Int64"), "doc_id": pd.Series([], dtype="Int64"),
-                          "score": pd.Series([], dtype="int64")})
     if docs.empty or queries.empty:
-        return empty
+        return _rows([])
     count = len(docs)
-    doc_ids = docs["doc_id"].to_numpy(dtype=object)
+    # ids stay integers beside their null marks: a column with nulls would come as doubles
+    doc_ids = [None if gone else i for i, gone in zip(docs["doc_id"].tolist(), docs["no_id"].tolist())]
     m = docs["m"].to_numpy(dtype=np.int64)
     n = docs["n"].to_numpy(dtype=np.int64)
     lists = docs["terms"].tolist()
@@ -106,9 +104,8 @@ def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     best_part = tf_part(n, m)  # largest saturated frequency a document can reach
     maybe_of: dict[str, np.ndarray] = {}
     out = []
-    for item, found in queries.groupby("item_id", dropna=False, sort=False):
-        if pd.isna(item):
-            item = None
+    for (item, gone), found in queries.groupby(["item_id", "no_item"], sort=False):
+        item = None if gone else int(item)
         bound = np.zeros(count, dtype=np.int64)
         plan = []
         for term, cnt, w in zip(found["term"], found["cnt"], found["w"]):
@@ -124,7 +121,7 @@ def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             bound += np.where(maybe_of[term], int(cnt) * int(w), 0)
         bound = bound * best_part
         order = np.lexsort((np.arange(count), -bound))
-        top: list[tuple[int, float, int]] = []  # (score, larger for smaller ids, index): a min-heap of the best
+        top: list[tuple[int, tuple[bool, int], int]] = []  # (score, larger for smaller ids, index): a min-heap of the best
         for i in order.tolist():
             if bound[i] <= 0 or (len(top) == TOP and bound[i] < top[0][0]):
                 break
@@ -141,15 +138,19 @@ def _block_search(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             elif key > top[0]:
                 heapq.heapreplace(top, key)
         out.extend((item, doc_ids[i], s) for s, _, i in top)
-    if not out:
-        return empty
-    return pd.DataFrame(out, columns=["item_id", "doc_id", "score"]).astype(
-        {"item_id": "Int64", "doc_id": "Int64", "score": "int64"})
+    return _rows(out)
 
 
-def _desc(doc_id) -> float:
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    """Result rows with nullable 64-bit ids."""
+    return pd.DataFrame({
+        "item_id": pd.array([r[0] for r in out], dtype="Int64"), "doc_id": pd.array([r[1] for r in out], dtype="Int64"),
+        "score": pd.Series([r[2] for r in out], dtype="int64")})
+
+
+def _desc(doc_id: int | None) -> tuple[bool, int]:
     """Larger for smaller ids, so that a min-heap drops the larger id of a tie; null smallest."""
-    return -math.inf if doc_id is None or pd.isna(doc_id) else -float(doc_id)
+    return (False, 0) if doc_id is None else (True, -doc_id)
 
 
 def search(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -172,9 +173,13 @@ def search(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     weights = items.join(df, "term", "left").select(
         "item_id", "term", "cnt",
         F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * big_n + 2)) / (F.lit(2.0) * F.coalesce("df", F.lit(0)) + 1))).alias("w"))
-    queries = materialize(weights, "search-queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # both sides number blocks by ints: an int and a long of one value hash to different partitions
+    queries = materialize(weights, "search-queries").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.coalesce("item_id", F.lit(0)).alias("item_id"), F.col("item_id").isNull().alias("no_item"), "term", "cnt", "w")
     m = F.lit(25) + F.expr(f"(75 * n * {big_n}L) div {big_l}L")
-    doc_side = docs.select(F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"), "doc_id", "n", m.alias("m"), "terms")
+    doc_side = docs.select(F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int").alias("block"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+                           F.col("doc_id").isNull().alias("no_id"), "n", m.alias("m"), "terms")
     found = doc_side.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(_block_search, RESULT)
     ranked = found.withColumn("rank", F.row_number().over(
         Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))).cast("int"))

@@ -91,3 +91,21 @@ def test_empty_tables_and_clashing_columns(spark):
 def test_random_corpora(spark, seed):
     docs, items = corpus(200, seed)
     assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_blocks_dealt_over_many_partitions_meet_their_queries(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "BLOCK_DOCS", 20)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no merging of shuffle partitions
+    try:
+        docs, items = corpus(200, 21)
+        assert run(spark, docs, items) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_ids_above_double_precision_beside_nulls(spark):
+    big = 2**60
+    docs = [(big + k, "alpha beta") for k in range(12, 0, -1)] + [(None, "alpha")]
+    items = [(big + 1, "alpha"), (big + 2, "beta"), (None, "alpha beta")]
+    assert run(spark, docs, items) == brute(docs, items)
