@@ -192,3 +192,20 @@ def test_minibatches_stream_across_small_arrow_batches(spark):
             step = error.T @ xb + draw.normal(0.0, 0.3 * 0.8, (3, 3))
             w = w - 0.1 * (step / 32 + 0.05 * (w - anchor))
     assert got["weights"] == pytest.approx(w.ravel().tolist(), abs=1e-9) and got["num_examples"] == 2_000
+
+
+def test_tasks_need_no_package_on_the_executors(tmp_path):
+    """What full-batch steps send to tasks loads where ``flowlab`` cannot be imported."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    partial = learn._partial_gradients({}, [0.0] * 4, 2, 0.0)
+    sent = tmp_path / "sent"
+    sent.write_bytes(cloudpickle.dumps((partial, learn._merge_partials(), learn._stream_trainer({}, [0.0] * 4, 2, 0.1, 1, 0.0, None, 1, {}))))
+    assert pickle.loads(sent.read_bytes())
+    code = f"import pickle; assert len(pickle.load(open({str(sent)!r}, 'rb'))) == 3"
+    made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert made.returncode == 0, made.stderr
