@@ -140,10 +140,10 @@ def prepare_csv_flows(
     feature like any other unless it is in ``exclude`` or passed through by ``keep``.
     """
     mapped = flows.withColumn("label_str", coarse_label(quoted(label), classes)).filter("label_str <> ''")
-    # the sample holds every class, so class sizes name them all
-    sizes = class_sizes(mapped, ["label_str"])
-    labels = materialize(number_labels(sizes), "labels")
-    sample = stratified_sample(mapped, "label_str", target, minimum, key, seed, sizes)
+    sample = stratified_sample(mapped, "label_str", target, minimum, key, seed)
+    # a sample of any size holds every class, so it names them all
+    named = sample if max(target, minimum) > 0 else mapped
+    labels = materialize(number_labels(class_sizes(named, ["label_str"])), "labels")
     features = [c for c in sample.columns if c not in {label, "label_str", *exclude, *keep}]
     texts = [c for c in text_cols(sample) if c in features]
     coded = apply_ordinal_encoder(sample, fit_ordinal_encoder(sample, texts), texts) if texts else sample

@@ -94,3 +94,25 @@ def test_mark_lowest_keeps_copies_together(spark):
     got = ordering.mark_lowest(rows, [], hash_order(1, F.col("key")), lambda n: F.ceil(n * 0.3), "hit")
     sides = got.groupBy("key").agg(F.countDistinct("hit").alias("n")).filter("n > 1")
     assert sides.count() == 0 and got.filter("hit").count() == 300
+
+
+def counted(spark, rows):
+    """The rows, and an accumulator of how many were read over all passes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema), seen
+
+
+def test_samples_pass_twice_and_splits_three_times_over_the_rows(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    source, seen = counted(spark, rows)
+    got = ordering.take_lowest(source, ["g"], hash_order(1, F.col("id")), lambda n: F.least(n, F.lit(50)))
+    assert got.count() == 100 and seen.value <= 2 * 2000
+    source, seen = counted(spark, rows)
+    marked = ordering.mark_lowest(source, ["g"], hash_order(1, F.col("id")), lambda n: F.ceil(n * 0.2), "hit")
+    assert marked.filter("hit").agg(F.count("id")).first()[0] == 134 + 267 and seen.value <= 3 * 2000
