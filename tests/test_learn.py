@@ -165,6 +165,34 @@ def test_a_hot_client_trains_over_many_partitions(spark, rows):
         assert got[client]["num_examples"] == len(part)
 
 
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Rows in two of nine partitions, as of a file cut into more parts than it has row groups."""
+    table = spark.range(0, 900, 1, 9).filter("id < 200").select(
+        "id", (F.col("id") % 7 % 2).cast("int").alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 500.0 - 1).alias("a"), (F.col("id") % 3 / 2.0).alias("b"))
+    assert table.select(F.spark_partition_id()).distinct().count() == 2 and table.rdd.getNumPartitions() == 9
+    return table
+
+
+def plain_rounds(pdf, rounds, epochs, rate, mu=0.0, clip=0.0):
+    """Federated rounds by a plain loop over clients: full-batch steps, mean weighted by rows."""
+    w = np.zeros((3, 3))
+    for _ in range(rounds):
+        total = np.zeros_like(w)
+        for _, part in pdf.groupby("client_id"):
+            x = np.column_stack([part[["a", "b"]], np.ones(len(part))])
+            total += len(part) * plain_full_batch(x, np.eye(3)[part["label"]], w, w, epochs, rate, mu, clip)
+        w = total / len(pdf)
+    return w.ravel().tolist()
+
+
+def test_rounds_pass_partitions_without_rows(gappy):
+    weights, log = learn.federated_fit(gappy, ["a", "b"], "label", 3, "id", rounds=3, epochs=1, rate=0.5, batch=None)
+    assert weights == pytest.approx(plain_rounds(gappy.toPandas(), 3, 1, 0.5))
+    assert log.count() == 3 * 5
+
+
 def test_minibatches_stream_across_small_arrow_batches(spark):
     table = spark.range(2_000).select(
         "id", F.lit(3).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
