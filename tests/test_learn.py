@@ -193,6 +193,13 @@ def test_rounds_pass_partitions_without_rows(gappy):
     assert log.count() == 3 * 5
 
 
+def test_proximal_rounds_pass_partitions_without_rows(gappy):
+    weights, log = learn.federated_fit(
+        gappy, ["a", "b"], "label", 3, "id", rounds=2, epochs=2, rate=0.5, batch=None, mu=0.1)
+    assert weights == pytest.approx(plain_rounds(gappy.toPandas(), 2, 2, 0.5, mu=0.1))
+    assert log.count() == 2 * 5
+
+
 def test_minibatches_stream_across_small_arrow_batches(spark):
     table = spark.range(2_000).select(
         "id", F.lit(3).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
