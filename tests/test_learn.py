@@ -200,6 +200,13 @@ def test_proximal_rounds_pass_partitions_without_rows(gappy):
     assert log.count() == 2 * 5
 
 
+def test_one_update_passes_partitions_without_rows(spark, gappy):
+    got = trained(spark, gappy, epochs=1, rate=0.5, batch=None)
+    for client, part in gappy.toPandas().groupby("client_id"):
+        assert got[client]["weights"] == pytest.approx(plain_rounds(part, 1, 1, 0.5))
+        assert got[client]["num_examples"] == len(part)
+
+
 def test_minibatches_stream_across_small_arrow_batches(spark):
     table = spark.range(2_000).select(
         "id", F.lit(3).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
