@@ -207,6 +207,15 @@ def test_one_update_passes_partitions_without_rows(spark, gappy):
         assert got[client]["num_examples"] == len(part)
 
 
+def test_private_rounds_pass_partitions_without_rows(gappy):
+    weights, log = learn.federated_fit(
+        gappy, ["a", "b"], "label", 3, "id", rounds=2, epochs=1, rate=0.5, batch=None,
+        noise=learn.Noise(1, sigma=0.0, clip=0.7), test=0.2)
+    kept = learn.stratified_split(gappy, "label", 0.2, ["id"]).filter("not is_test").toPandas()
+    assert weights == pytest.approx(plain_rounds(kept, 2, 1, 0.5, clip=0.7)) and len(kept) == 158
+    assert log.count() == 2 * 5
+
+
 def test_minibatches_stream_across_small_arrow_batches(spark):
     table = spark.range(2_000).select(
         "id", F.lit(3).alias("client_id"), (F.col("id") % 3).cast("int").alias("label"),
